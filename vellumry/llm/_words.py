@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _B = U64(0x9E3779B97F4A7C15 | 1)
 _B_INV = U64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True

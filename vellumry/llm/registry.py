@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op2_contaminated
+from .language_id import op1_language
 from .minhash_dedup import op7_near_duplicates
+from .substring_dedup import op10_repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_contaminated": op2_contaminated,
     "op7_near_duplicates": op7_near_duplicates,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {}
