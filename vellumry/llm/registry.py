@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op2_contaminated
 from .language_id import op1_language
 from .minhash_dedup import op7_near_duplicates
+from .packing import op6_packed
+from .pii import op8_private_data
 from .substring_dedup import op10_repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_contaminated": op2_contaminated,
+    "op6_packed": op6_packed,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_private_data": op8_private_data,
     "op10_repeated_passages": op10_repeated_passages,
 }
 
