@@ -62,14 +62,17 @@ def _lines(row: np.ndarray, line: np.ndarray) -> np.ndarray:
     return new
 
 
-def cuts(h: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Whether the pair of words at each place has the least hash among those ``reach`` places around it."""
+def cuts(h: np.ndarray, paragraph: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Whether the pair of words at each place has the least hash among those ``reach`` places around it in its
+    paragraph; the last word of a paragraph begins no pair."""
     pair = h.copy()
     pair[:-1] = mix(h[:-1] * U64(0x9FB21C651E98DF25) + h[1:])
-    least = np.ones(len(h), bool)
+    pair[-1:] = pair[:-1][paragraph[1:] != paragraph[:-1]] = U64((1 << 64) - 1)
+    least = pair != U64((1 << 64) - 1)
     for k in range(1, reach + 1):
-        least[k:] &= pair[k:] < pair[:-k]
-        least[:-k] &= pair[:-k] <= pair[k:]
+        apart = paragraph[k:] != paragraph[:-k]
+        least[k:] &= apart | (pair[k:] < pair[:-k])
+        least[:-k] &= apart | (pair[:-k] <= pair[k:])
     return least
 
 
@@ -85,7 +88,8 @@ def _positions(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, first: np
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, _, data, offsets, h, row, s, e, line in _sliced(batch.column("text")):
-            first, last = _runs(_lines(row, line) | cuts(h))
+            new = _lines(row, line)
+            first, last = _runs(new | cuts(h, np.cumsum(new, dtype=np.int32)))
             long = last - first >= PIECE_WORDS
             first, last = first[long], last[long]
             if len(first):
