@@ -144,19 +144,28 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Only the rows that go are sent to the filter (broadcast when counted small), so the texts that stay are not moved.
     """
     g = written(grouped(docs, threshold), "grouped")
+    h, node, key, one = (_fresh(docs, x) for x in ("hash", "node", "id", "one"))
     kept = (F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))) & (F.col("node") == F.col("kept_node"))
-    gone = g.filter(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), (kept & (F.col("n") > 1)).alias("_one"))
-    marked = docs.withColumn("_h", F.xxhash64("text"))
-    same = (F.col("_h") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    stay = marked.join(small(gone.select("_id", "_node"), 32), same, "left_anti").drop("_h")
-    repeated = gone.filter("_one")
+    gone = g.filter(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias(key), F.col("node").alias(node), (kept & (F.col("n") > 1)).alias(one))
+    marked = docs.withColumn(h, F.xxhash64("text"))
+    same = (F.col(h) == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(key))
+    stay = marked.join(small(gone.select(key, node), 32), same, "left_anti").drop(h)
+    repeated = gone.filter(one)
     if not repeated.limit(1).count():
         return stay
     # the kept row itself occurs several times: one of the repetitions returns
-    back = marked.join(small(repeated.select("_id", "_node"), 32), same, "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
+    back = marked.join(small(repeated.select(key, node), 32), same, "left_semi").dropDuplicates(["doc_id", h]).drop(h)
     return stay.unionByName(back)
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, in any letter case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of the table that repeats another, with the document kept in its place."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
