@@ -64,7 +64,7 @@ def _lines(row: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 def cuts(h: np.ndarray, paragraph: np.ndarray, reach: int = REACH) -> np.ndarray:
     """Whether the pair of words at each place has the least hash among those ``reach`` places around it in its
-    paragraph; the last word of a paragraph begins no pair."""
+    paragraph. No cut leaves fewer than PIECE_WORDS at a paragraph's beginning or end."""
     pair = h.copy()
     pair[:-1] = mix(h[:-1] * U64(0x9FB21C651E98DF25) + h[1:])
     pair[-1:] = pair[:-1][paragraph[1:] != paragraph[:-1]] = U64((1 << 64) - 1)
@@ -73,6 +73,11 @@ def cuts(h: np.ndarray, paragraph: np.ndarray, reach: int = REACH) -> np.ndarray
         apart = paragraph[k:] != paragraph[:-k]
         least[k:] &= apart | (pair[k:] < pair[:-k])
         least[:-k] &= apart | (pair[:-k] <= pair[k:])
+        if k == PIECE_WORDS:
+            least[k:] &= ~apart
+        if k == PIECE_WORDS - 1:
+            least[:-k] &= ~apart
+    least[:PIECE_WORDS] = least[1 - PIECE_WORDS :] = False
     return least
 
 
