@@ -123,11 +123,12 @@ def groups(banded: DataFrame, bags: Callable[[DataFrame], DataFrame], least: flo
     members = buckets.select(F.explode("nodes").alias("node")).distinct()
     sigs = banded.join(small(members, 16), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
     sigs = written(sigs, "signatures")
+    # both rounds compare nodes of buckets, so that one pass over the texts gives the bags of both
+    held = bags(members)
 
     def verified(pairs: DataFrame) -> DataFrame:
         likely = written(_compare(pairs, sigs, "sig", estimate, doubt), "likely")
-        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return written(_compare(likely.select("a", "b"), bags(ends), "bag", overlap, least), "verified")
+        return written(_compare(likely.select("a", "b"), held, "bag", overlap, least), "verified")
 
     stars = buckets.select(F.element_at("nodes", 1).alias("a"), F.explode(F.slice("nodes", 2, F.size("nodes"))).alias("b"))
     first = verified(stars.distinct())

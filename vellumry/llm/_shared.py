@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 
+#: Rows of an Arrow batch: texts can be long, and a batch is held several times over by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Python small batches, unless it already asks for smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir if the session names one; else (tests on one machine) a temporary folder, set once."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import lean
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
@@ -99,7 +101,7 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER, template: Te
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     whole = (
-        conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+        lean(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list("t")).alias("turns"))
         .select("conv_id", F.size("turns").alias("n_turns"), F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))

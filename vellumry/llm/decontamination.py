@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import lean
 from ._words import U64, mix
 
 Q, RATE = 12, 0.06
@@ -224,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
 
 def _located(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
+    keyed = lean(docs).select("doc_id", F.xxhash64("text").alias("node"), "text")
     found = None
     for part in _parts(benchmark):
         index = sc.broadcast(Index(part, rate))
@@ -256,7 +257,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     """
     sc, schema = docs.sparkSession.sparkContext, docs.schema
     at = docs.columns.index("text")
-    out = docs
+    out = lean(docs)
     for part in _parts(benchmark):
         index = sc.broadcast(Index(part, rate))
 

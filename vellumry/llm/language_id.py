@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._shared import lean
+
 #: Training rows per language, at most; the only bounded sample of this operator.
 TRAIN_ROWS = 400
 #: Features: 2^BITS hashed n-grams.
@@ -161,7 +163,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "lang", "predicted", "gap", "ambiguous"],
             )
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    kept = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     return kept.mapInArrow(run, "doc_id long, lang string, predicted string, gap double, ambiguous boolean")
 
 
@@ -173,7 +175,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([not x for x in _verdicts(batch.column(at), shared.value)[2]], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import lean
 from .webp import CROSS_COLOUR, PALETTE, PREDICTOR, SUBTRACT_GREEN, Damaged, decode, encode
 
 #: Rows decoded between two output batches, which bounds memory.
@@ -44,7 +45,7 @@ def decoded(images: DataFrame, key: str = "image_id", column: str = "image") ->
                     [key, "width", "height", "pixels", "error"],
                 )
 
-    kept = images.select(F.col(key).cast("long").alias(key), F.col(column).cast("binary").alias(column))
+    kept = lean(images).select(F.col(key).cast("long").alias(key), F.col(column).cast("binary").alias(column))
     return kept.mapInArrow(run, f"{key} long, width int, height int, pixels array<long>, error string")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._near import band_keys, binary_array, groups, list_array
-from ._shared import small, written
+from ._shared import lean, small, written
 from ._words import U64, bags, mix, shingles, text_slices, words
 
 SIZE, BANDS, SHINGLE = 128, 32, 2
@@ -93,7 +93,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.col("text")).filter("text rlike '[\\\\p{L}\\\\p{N}]'").withColumn("node", F.xxhash64("text"))
+    return lean(docs).select(F.col("doc_id"), F.col("text")).filter("text rlike '[\\\\p{L}\\\\p{N}]'").withColumn("node", F.xxhash64("text"))
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

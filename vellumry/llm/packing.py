@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import lean, written
 
 CAPACITY = 2048
 #: Pieces that one partition packs; the number of partitions grows with the input.
@@ -101,7 +101,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             some = pc.greater(words, 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(some), pc.add(words.filter(some), 1)], ["doc_id", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens long")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:

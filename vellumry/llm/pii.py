@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import lean
+
 CUES = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "api-key", "apikey", "access_key", "private_key")
 KEY_PREFIXES = ("AKIA", "ASIA")
 
@@ -170,7 +172,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = [[dict(zip(("kind", "start", "end"), x)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(clean, pa.string()), pa.array(rows, pa.list_(kind))], ["doc_id", "text", "found"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return kept.mapInArrow(run, "doc_id long, text string, found array<struct<kind: string, start: int, end: int>>")
 
 
@@ -183,7 +185,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             clean = [redact(t, f) if t and (f := find(t)) else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = lean(docs).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out

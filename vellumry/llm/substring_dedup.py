@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._near import band_keys, binary_array, groups, list_array
-from ._shared import small, written
+from ._shared import lean, small, written
 from ._words import U64, bags, mix, shingles, span_hashes, text_slices, words
 from .minhash_dedup import occurrence_sets
 
@@ -159,7 +159,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Repetition inside one document is no repetition across documents and is not reported; rows with the same doc_id
     count as one document. Rows whose text or doc_id is null are ignored; other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     pieces = docs.mapInArrow(_pieces, "doc_id long, key long, w0 int, w1 int, c0 int, c1 int")
     # keys alone are aggregated first, with map-side combining: a piece in millions of documents is one row a task
     shared = pieces.groupBy("key").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("hi")).filter("kept_doc_id < hi").drop("hi")
