@@ -1,4 +1,4 @@
-"""Queries of the document engine and the SQL that checks them, by name."""
+"""All queries of the engine and the SQL that checks them, by name."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import documents
+
+_modules = (documents,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _modules for k, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for m in _modules for k, s in m.ORACLE_SQL.items()}
 FLAGSHIP = "manifest"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
