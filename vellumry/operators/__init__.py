@@ -1 +1 @@
-
+"""Operators over documents, blocks, tables and corpora."""

@@ -88,7 +88,7 @@ def session_numbers(events: DataFrame, key: str, at: Column, gap: float, end: Co
 
 def rate_limited(requests: DataFrame, key: str, at: str, limit: int = 60, seconds: int = 60) -> DataFrame:
     """requests with ``recent`` (requests of the key in the last ``seconds``, this one included) and ``allowed``."""
-    t = F.unix_micros(F.col(at))
+    t = F.unix_micros(F.col(at).cast("timestamp"))
     w = Window.partitionBy(key).orderBy(t).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return requests.withColumn("recent", F.count("*").over(w)).withColumn("allowed", F.col("recent") <= limit)
 
