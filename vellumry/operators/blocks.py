@@ -29,7 +29,8 @@ def block(kind: str, content: Column) -> Column:
 def exploded(docs: DataFrame, blocks: str = "blocks") -> DataFrame:
     """One row a block: the document's other columns, then idx and the block's fields."""
     rest = [c for c in docs.columns if c != blocks]
-    return docs.select(*rest, F.posexplode(blocks).alias("idx", "_b")).select(*rest, "idx", "_b.*")
+    # of an inner explode Spark infers a filter on the array, and would compute the array a second time for it
+    return docs.select(*rest, F.posexplode_outer(blocks).alias("idx", "_b")).filter("idx is not null").select(*rest, "idx", "_b.*")
 
 
 def text_blocks(docs: DataFrame, name: Column | None = None) -> DataFrame:

@@ -66,7 +66,7 @@ def chunked(docs: DataFrame, max_tokens: int = MAX_TOKENS, min_tokens: int = MIN
     sized = docs.select("doc_id", F.transform("blocks", lambda b: F.struct(
         b["type"].alias("type"), text.count_tokens(to_markdown(b["type"], b["content"], b["level"], none, none)).alias("tokens"), b["content"].alias("content"), b["level"].alias("level")
     )).alias("b"))
-    cut = sized.select("doc_id", "b", F.posexplode(spans(F.col("b"), max_tokens, min_tokens, overlap)).alias("chunk", "s"))
+    cut = sized.select("doc_id", "b", F.posexplode_outer(spans(F.col("b"), max_tokens, min_tokens, overlap)).alias("chunk", "s")).filter("chunk is not null")
     part = F.slice("b", F.col("s.a") + 1, F.col("s.b") - F.col("s.a"))
     content = F.array_join(F.transform(part, lambda b: to_markdown(b["type"], b["content"], b["level"], none, none)), "\n\n")
     # within the chunk a heading can only be its first block; else the nearest one before it

@@ -23,7 +23,7 @@ CONTACT_KEYS = ("address", "email", "fax", "mobile", "phone", "telephone", "url"
 def lines(blocks: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """(keys, line_no, key, value): every line of the blocks that is a field, numbered from 0 among lines that aren't blank."""
     stripped = F.filter(F.transform(F.split(F.col(content), "\r\n|\r|\n"), text.strip), lambda x: x != "")
-    parsed = blocks.select(*keys, F.posexplode(F.transform(stripped, kv.parse)).alias("line_no", "f"))
+    parsed = blocks.select(*keys, F.posexplode_outer(F.transform(stripped, kv.parse)).alias("line_no", "f"))
     return parsed.filter("f is not null").select(*keys, "line_no", "f.key", "f.value")
 
 

@@ -28,7 +28,7 @@ def tfidf(docs: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     q = queries.select("item_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
     asked = q.select("term").distinct()
     n = docs.agg(F.count("*").alias("n"))
-    t = docs.select("doc_id", terms("text").alias("t")).select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    t = docs.select("doc_id", terms("text").alias("t")).select("doc_id", F.size("t").alias("length"), F.explode_outer("t").alias("term")).filter("term is not null")
     tf = t.join(asked, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = asked.join(df, "term", "left").crossJoin(n).select("term", F.when(F.col("df").isNotNull(), F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).otherwise(1.0).alias("idf"))

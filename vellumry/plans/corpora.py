@@ -11,7 +11,7 @@ from .tables import grids, read
 
 
 def shingles(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(corpus.shingles(F.col("text"))).alias("shingle"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.explode_outer(corpus.shingles(F.col("text"))).alias("shingle")).filter("shingle is not null")
     return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("shingle").alias("different"), F.min("shingle").alias("least"))
 
 
@@ -184,7 +184,7 @@ def table_preview(spark, sf_dir):
 
 
 def table_split(spark, sf_dir):
-    g = grids(spark, sf_dir).select("table_id", F.explode(tables.ranges(F.col("grid"), F.col("header_rows"), 60)).alias("r"))
+    g = grids(spark, sf_dir).select("table_id", F.explode_outer(tables.ranges(F.col("grid"), F.col("header_rows"), 60)).alias("r")).filter("r is not null")
     return g.select("table_id", "r.row_start", "r.row_end", "r.oversize", "r.estimated_tokens")
 
 

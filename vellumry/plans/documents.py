@@ -72,7 +72,7 @@ def merge_fragments(spark, sf_dir):
     """Lines of conversations, a turn a page, with short ones joined to the next."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.transform(F.split("text", "\n"), text.strip), lambda x: x != "").alias("l"))
     b = F.transform("l", lambda x: F.struct(F.lit("paragraph").alias("type"), x.alias("content"), F.lit(None).cast("int").alias("level"), F.lit(1).alias("page")))
-    return c.select("conv_id", "turn", F.posexplode(blocks.merge_fragments(b)).alias("idx", "b")).select("conv_id", "turn", "idx", F.col("b.content").alias("content"))
+    return c.select("conv_id", "turn", F.posexplode_outer(blocks.merge_fragments(b)).alias("idx", "b")).filter("idx is not null").select("conv_id", "turn", "idx", F.col("b.content").alias("content"))
 
 
 def _chunk_docs(spark, sf_dir):
@@ -100,12 +100,12 @@ def issues_structure(spark, sf_dir):
     """Issues of the documents, each text one block."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.array(blocks.block("paragraph", F.col("text"))).alias("blocks"))
     d = quality.issues(d.withColumns({"file_type": F.lit("txt"), "pages": F.lit(1), "original_tokens": F.lit(1)}))
-    return d.select("doc_id", F.explode("issues").alias("i")).select("doc_id", "i.severity", "i.code", "i.idx")
+    return d.select("doc_id", F.explode_outer("issues").alias("i")).filter("i is not null").select("doc_id", "i.severity", "i.code", "i.idx")
 
 
 def deductions(spark, sf_dir):
     d = compiled(read(spark, sf_dir, "documents").select("doc_id", F.array(blocks.block("paragraph", F.col("text"))).alias("blocks")))
-    return d.select("doc_id", F.explode("deductions").alias("d")).select("doc_id", "d.rule_id", "d.penalty", "d.suppressed")
+    return d.select("doc_id", F.explode_outer("deductions").alias("d")).filter("d is not null").select("doc_id", "d.rule_id", "d.penalty", "d.suppressed")
 
 
 def readiness_score(spark, sf_dir):
@@ -202,7 +202,7 @@ def kv_render(spark, sf_dir):
 
 def email_body_clean(spark, sf_dir):
     """Turns of conversations as mail bodies."""
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.email_paragraphs(F.col("text"))).alias("idx", "paragraph"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode_outer(text.email_paragraphs(F.col("text"))).alias("idx", "paragraph")).filter("idx is not null")
 
 
 QUERIES = {
