@@ -23,8 +23,10 @@ CONTACT_KEYS = ("address", "email", "fax", "mobile", "phone", "telephone", "url"
 def lines(blocks: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """(keys, line_no, key, value): every line of the blocks that is a field, numbered from 0 among lines that aren't blank."""
     stripped = F.filter(F.transform(F.split(F.col(content), "\r\n|\r|\n"), text.strip), lambda x: x != "")
-    parsed = blocks.select(*keys, F.posexplode_outer(F.transform(stripped, kv.parse)).alias("line_no", "f"))
-    return parsed.filter("f is not null").select(*keys, "line_no", "f.key", "f.value")
+    marked = F.filter(F.transform(stripped, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.contains(s["x"], F.lit(":")))
+    one = blocks.filter(F.contains(F.col(content), F.lit(":"))).select(*keys, F.explode_outer(marked).alias("l")).filter("l is not null")
+    parsed = one.select(*keys, F.col("l.i").alias("line_no"), kv.parse(F.col("l.x")).alias("f"))
+    return parsed.select(*keys, "line_no", "f.*").filter("key is not null")
 
 
 def typed(fields: DataFrame) -> DataFrame:

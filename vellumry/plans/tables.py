@@ -9,8 +9,15 @@ from ..functions import text
 from ..operators import blocks, quality
 
 
+#: Tables of whole texts, whose operators spend their time on each row.
+TEXTS = ("documents", "pages")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts in fewer splits than there are cores are spread over all of them: that is a shuffle of less than one
+    split a core; larger inputs have splits enough and are read as they are."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
