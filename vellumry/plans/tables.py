@@ -48,10 +48,12 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compiled(docs: DataFrame, file_type: str = "txt", pages: int = 1) -> DataFrame:
     """Parsed documents (doc_id, blocks) through cleaning, removal of repeated blocks, validation and scoring.
 
-    One row a document from end to end, so the whole chain is one stage over the scan.
+    One row a document from end to end, so the whole chain is one stage over the scan. Columns file_type and pages of
+    ``docs`` are used if they are there.
     """
     words = lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + text.word_count(x["content"]) + F.regexp_count(x["content"], F.lit(text.CJK)))
-    d = blocks.cleaned(docs).withColumns({"file_type": F.lit(file_type), "pages": F.lit(pages)})
+    d = blocks.cleaned(docs)
+    d = d.withColumns({k: F.lit(v) for k, v in {"file_type": file_type, "pages": pages}.items() if k not in docs.columns})
     d = d.withColumn("original_tokens", F.when(F.size("blocks") > 0, F.greatest(F.lit(1), words(F.col("blocks")))).otherwise(0))
     d = d.withColumn("_n", F.size("blocks")).withColumn("blocks", blocks.deduplicated_array(F.col("blocks")))
     d = d.withColumn("duplicate_blocks_removed", F.col("_n") - F.size("blocks")).drop("_n")
