@@ -147,7 +147,7 @@ def structural_metrics(spark, sf_dir):
 
 def _kv_source(spark, sf_dir):
     """Conversation turns and documents as blocks that may hold fields."""
-    c = read(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").alias("part"), F.col("text").alias("content"))
+    c = read(spark, sf_dir, "conversations", heavy=True).select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").alias("part"), F.col("text").alias("content"))
     d = read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("part"), F.col("text").alias("content"))
     return c.unionByName(d)
 
@@ -172,7 +172,7 @@ def kv_value_types(spark, sf_dir):
 
 def _typed_records(spark, sf_dir):
     """Orders as blocks of fields: five keys a block."""
-    o = read(spark, sf_dir, "orders")
+    o = read(spark, sf_dir, "orders", heavy=True)
     text_of = F.concat_ws(
         "\n", F.concat(F.lit("Invoice: "), F.col("o_orderkey").cast("string")), F.concat(F.lit("Customer: "), F.col("o_custkey").cast("string")),
         F.concat(F.lit("Date: "), F.date_format("o_orderdate", "MM/yyyy")), F.concat(F.lit("Total: $"), F.format_string("%.2f", "o_totalprice")),

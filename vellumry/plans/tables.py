@@ -13,11 +13,11 @@ from ..operators import blocks, quality
 TEXTS = ("documents", "pages")
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table. Texts in fewer splits than there are cores are spread over all of them: that is a shuffle of less than one
+def read(spark: SparkSession, sf_dir: str, name: str, heavy: bool | None = None) -> DataFrame:
+    """A table. Texts (or what ``heavy`` says is as slow to work on) in fewer splits than there are cores are spread over all of them: that is a shuffle of less than one
     split a core; larger inputs have splits enough and are read as they are."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if (name in TEXTS if heavy is None else heavy) and df.rdd.getNumPartitions() < cores else df
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
