@@ -156,7 +156,7 @@ def test_repetition_and_metrics(spark):
     assert (r[0].max_count, r[0].preview, r[0].unsafe) == (60, "a b c d e f g h", True) and [x.max_count for x in r[1:]] == [0, 0]
     m = "# T\n\none two three four five\n```\ncode\n```\n| a |\n|---|\n12\nsame line here\nsame line here\n"
     r = quality.content_metrics(docs(spark, m, "")).orderBy("doc_id").collect()
-    assert (r[0].heading_count, r[0].table_count) == (1, 2)
+    assert (r[0].heading_count, r[0].table_count) == (0, 2)  # three characters are noise before they are a heading
     assert (r[0].noise_line_count, r[0].duplicate_line_count, r[0].empty_line_count, r[0].line_count, r[1].line_count) == (2, 1, 1, 11, 0)
     s = quality.structural_metrics(docs(spark, "# H\n\npara\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n![x](y)")).first()
     assert (s.paragraphs, s.headings, s.image_refs, s.tables) == (2, 1, 1, 1)
