@@ -472,6 +472,20 @@ def test_exchange_saves_bins(spark):
     assert n(after) <= n(before) and after.count() == 64
 
 
+def test_packing_counts_tokens_of_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    texts = ["".join(chr(0x4E00 + random.Random(i).randrange(20000)) for i in range(3000)), "a,b;" * 900, "señor niño, ¿qué pasó? " * 9, "a<|endoftext|>b"]
+    odd = random.Random(5)
+    texts += ["".join(odd.choice(" \n\t\r\x0b\x1c\x1f\x85\xa0\u180e\u200b\u2003\u2028\u202f\u3000\ufeffab'st1!é語😀") for _ in range(400)) for _ in range(40)]
+    rows = packing.pack(docs_of(spark, texts)).collect()
+    tok.encode_special_tokens = True
+    for i, t in enumerate(texts):
+        assert sum(x.size for x in rows if x.doc_id == i) == len(tok.encode(t, add_special_tokens=False).ids) + 1
+    assert max(x.piece for x in rows if x.doc_id == 0) > 0
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ again; a round counts only if it saves bins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import lean, written
+from .chat_format import TOKENIZER, _tokenizer
 
 CAPACITY = 2048
 #: Pieces that one partition packs; the number of partitions grows with the input.
@@ -89,17 +91,41 @@ def _packer(capacity: int, turn: int):
 _SCHEMA = "doc_id long, piece int, size long, part long, round int, bin long, fill long, part_bins long, part_bound long"
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, tokens): words between white space, plus one for the separator; texts without a word are left out."""
+#: A text cut before every run of white space. The tokenizer's own pieces end there too (it joins white space to what
+#: follows it, never to what precedes it, and looks only ahead), so counts of these add up to the whole text's count.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: Pieces remembered by a task, and characters of the longest of them; others are encoded each time.
+KNOWN_PIECES, KNOWN_CHARS = 200_000, 48
+
+
+class _Counts(dict):
+    """Tokens of pieces, encoded when they are first asked for."""
+
+    def __init__(self, enc):
+        self.enc = enc
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.enc.encode_batch_fast([piece], add_special_tokens=False)[0])
+        if len(piece) <= KNOWN_CHARS:
+            if len(self) >= KNOWN_PIECES:
+                self.clear()
+            self[piece] = n
+        return n
+
+
+def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, tokens): tokens of the whole text by op3's tokenizer, plus one for the separator; texts without a word
+    are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Counts(_tokenizer(tokenizer))
         for batch in batches:
             text = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-            words = pc.add(
-                pc.count_substring_regex(text, r"[^\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+"), 0
-            ).cast(pa.int64())
-            some = pc.greater(words, 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(some), pc.add(words.filter(some), 1)], ["doc_id", "tokens"])
+            some = pc.match_substring_regex(text, r"[^\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]")
+            ids, text = batch.column("doc_id").filter(some), text.filter(some)
+            n = [1 + sum(map(known.__getitem__, _PIECE.findall(t))) for t in text.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
     return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens long")
 
