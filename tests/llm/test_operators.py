@@ -201,6 +201,30 @@ def test_every_exact_passage_of_fifty_words(spark):
     assert len(found & set(range(1, 2 * pairs, 2))) >= 0.95 * pairs
 
 
+def wrapped(text, n, first):
+    w = text.split()
+    return "\n".join([" ".join(w[:first]), *[" ".join(w[i : i + n]) for i in range(first, len(w), n)]])
+
+
+@pytest.mark.parametrize("n, firsts", [(7, (3, 6)), (3, (3, 3)), (3, (1, 2)), (1, (1, 1))])
+def test_passages_are_found_however_lines_are_wrapped(spark, n, firsts):
+    texts, pairs = [], 20
+    for i in range(pairs):
+        p = prose(1000 + i, 60)
+        texts += [wrapped(f"{prose(3 * i, 40)} {p} {prose(3 * i + 1, 30)}", n, firsts[0]), wrapped(f"{prose(9000 + i, 25)} {p}", n, firsts[1])]
+    got = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert len({r.doc_id for r in got} & set(range(1, 2 * pairs, 2))) >= 0.95 * pairs
+    for r in got:
+        assert " ".join(texts[r.doc_id][r.start : r.end].split()) in prose(1000 + r.doc_id // 2, 60)
+
+
+def test_short_passages_of_whole_lines(spark):
+    lines = [prose(70 + i, 8) for i in range(2)]
+    texts = ["\n".join([prose(10 * i, 30), *lines, prose(10 * i + 1, 30)]) for i in range(2)]
+    got = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert [texts[1][r.start : r.end] for r in got] == ["\n".join(lines)]
+
+
 def test_near_paragraphs(spark):
     line = prose(5, 40)
     texts = [f"{prose(1, 30)}\n{line}\n{prose(2, 30)}", f"{prose(3, 30)}\n{replaced(line, 1, 20)}\n{prose(4, 30)}"]

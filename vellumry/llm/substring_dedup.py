@@ -4,9 +4,10 @@ A paragraph is a line. Two granularities are searched:
 
 * Whole paragraphs of PARAGRAPH_WORDS words or more: MinHash over word bigrams, bands tuned for the recall asked at the
   threshold, colliding paragraphs joined, exact Jaccard verified, groups formed by connected components.
-* Passages inside paragraphs: a paragraph is cut where a word pair's hash is the least of its neighbourhood (the
-  one-row MinHash of that window), so equal passages are cut equally wherever they stand. Pieces join on the hash of
-  all their words, which is Jaccard 1, and adjacent repeated pieces merge.
+* Passages anywhere: a text is cut where a word pair's hash is the least of its neighbourhood (the one-row MinHash of
+  that window), so equal passages are cut equally wherever they stand and however their lines are wrapped. It is cut a
+  second time with line breaks as forced cuts, for short passages of whole lines. Pieces join on the hash of all their
+  words, which is Jaccard 1, and adjacent repeated pieces merge.
 
 In each group the document of least doc_id keeps its text; every other occurrence is a removal.
 """
@@ -93,8 +94,12 @@ def _positions(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, first: np
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, _, data, offsets, h, row, s, e, line in _sliced(batch.column("text")):
-            new = _lines(row, line)
-            first, last = _runs(new | cuts(h, np.cumsum(new, dtype=np.int32)))
+            # cut over the whole text, where line breaks are white space, and line by line; most pieces are the same
+            spans = []
+            for new in (_lines(row, np.zeros_like(line)), _lines(row, line)):
+                spans.append(np.stack(_runs(new | cuts(h, np.cumsum(new, dtype=np.int32)))))
+            both = np.concatenate(spans, 1)
+            first, last = np.divmod(np.unique(both[0] * (len(h) + 1) + both[1]), len(h) + 1)
             long = last - first >= PIECE_WORDS
             first, last = first[long], last[long]
             if len(first):
