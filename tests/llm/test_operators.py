@@ -303,6 +303,21 @@ def test_decontamination_places_and_drops(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_are_found_on_word_boundaries(spark):
+    items = ["What is the capital of Chad?", "光合作用在哪里发生", "N'Djamena, Chad", "yes", None]
+    index = decontamination.Index([(i, t) for i, t in enumerate(items) if t])
+    for text, want in [
+        ("Q: what is  the CAPITAL of\nChad! A: N'Djamena; Chad.", [(0, "what is  the CAPITAL of\nChad"), (2, "N'Djamena; Chad")]),
+        ("问题：光合作用在哪里发生？", [(1, "光合作用在哪里发生")]),
+        ("what is the capital of Chadwick, swhat is the capital of chad, yes", []),
+    ]:
+        assert [(r[0], text[r[1] : r[2]]) for r in index.find(text)] == want
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted(r.item_id for r in decontamination.not_searchable(bench).collect()) == [3, 4]
+    docs = docs_of(spark, [f"{prose(1, 30)} {items[0]} {prose(2, 30)}", prose(3, 50)])
+    assert [r.doc_id for r in decontamination.decontaminate(docs, bench).collect()] == [1]
+
+
 def test_decontamination_in_parts_gives_the_same(spark, monkeypatch):
     bench = spark.createDataFrame([(i, prose(i, 30)) for i in range(6)], "item_id long, text string")
     docs = docs_of(spark, [f"{prose(50 + i, 30)} {prose(i, 30)} {prose(70 + i, 9)}" for i in range(6)])

@@ -12,6 +12,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,10 @@ from ._shared import lean
 from ._words import U64, mix
 
 Q, RATE = 12, 0.06
-#: Shorter items (in the normal form) are too common as text to mark a document.
+#: Shorter items (in the normal form) are looked for without edits, on word boundaries.
 MIN_CHARS = 40
+#: Characters of the least item searched, where one of U+3000 on counts as three; what is less says too little as text.
+MIN_WEIGHT = 10
 #: Benchmark text that one pass holds in memory; a larger benchmark is split and the documents are read once per part.
 PART_CHARS = 16 << 20
 _BITS = 20
@@ -115,15 +118,27 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tu
     return (int(cost[best]), int(start[best]), int(ends[best])) if cost[best] <= k else None
 
 
+def weight(code: np.ndarray) -> int:
+    return len(code) + 2 * int((code >= 0x3000).sum())
+
+
+def _string(code: np.ndarray) -> str:
+    return code.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class Index:
     """Where each q-gram of the items occurs."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, q: int = Q):
         self.q, self.ids, self.codes, self.budgets = q, [], [], []
+        self.short: dict[str, list[int]] = {}
+        self._automaton = None
         hashes, place, which = [], [], []
         for item_id, text in items:
             code, _ = normal(text)
             if len(code) < max(MIN_CHARS, 2 * q):
+                if weight(code) >= MIN_WEIGHT:
+                    self.short.setdefault(_string(code), []).append(item_id)
                 continue
             g = grams(code, q)
             hashes.append(g)
@@ -165,11 +180,37 @@ class Index:
                 out.setdefault(i, []).append(d)
         return out
 
+    def _find_short(self, code: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Regions equal to a short item that begin and end at a word boundary; CJK characters are bounded anywhere."""
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for item in self.short:
+                self._automaton.add_word(item, item)
+            self._automaton.make_automaton()
+        text = _string(code)
+
+        def bounded(a: int) -> bool:
+            return not 0 < a < len(text) or " " in text[a - 1 : a + 1] or max(text[a - 1 : a + 1]) >= "\u3000"
+
+        out, done = [], {}
+        for last, item in self._automaton.iter(text):
+            a = last + 1 - len(item)
+            if a >= done.get(item, 0) and bounded(a) and bounded(last + 1):
+                done[item] = last + 1
+                out += [(i, int(at[a]), int(at[last]) + 1, 0) for i in self.short[item]]
+        return out
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) of each region of the text that an item matches."""
-        if not self.ids or len(text) < 2 * self.q:
+        if not text or not (self.ids or self.short):
             return []
         code, at = normal(text)
+        short = self._find_short(code, at) if self.short else []
+        return sorted(short + self._find_long(code, at), key=lambda r: (r[1], r[0] is None, r[0]))
+
+    def _find_long(self, code: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        if not self.ids or len(code) < self.q:
+            return []
         item, diagonal = self.hits(code)
         if len(item) < self.least.min():
             return []
@@ -197,7 +238,7 @@ class Index:
         for r in out:
             if not any(r[0] == s[0] and r[1] < s[2] and s[1] < r[2] for s in kept):
                 kept.append(r)
-        return sorted(kept, key=lambda r: (r[1], r[0] is None, r[0]))
+        return kept
 
 
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -215,14 +256,24 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, start, end, edits): regions of whole documents that match a whole item within its edit budget.
 
-    start and end are characters of the text, end exclusive. Items shorter than MIN_CHARS in the normal form, null items
-    and null texts match nothing; a null doc_id is carried as it is; equal items under different ids are each reported,
+    start and end are characters of the text, end exclusive. Items shorter than MIN_CHARS in the normal form match
+    without edits, on word boundaries; those of ``not_searchable`` and null texts match nothing; a null doc_id is carried as it is; equal items under different ids are each reported,
     equal rows of the benchmark once, equal rows of documents each. Other columns are not read. The benchmark is held in
     parts of a bounded size; the documents are scanned once for each part and never shuffled.
     """
     return _located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, rate).drop("node")
 
 
+def not_searchable(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text) of the benchmark's items that are never looked for: null, or under MIN_WEIGHT in the normal form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([t is None or weight(normal(t)[0]) < MIN_WEIGHT for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return lean(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, text string")
+
+
 def _located(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     keyed = lean(docs).select("doc_id", F.xxhash64("text").alias("node"), "text")
