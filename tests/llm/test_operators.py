@@ -303,6 +303,18 @@ def test_decontamination_places_and_drops(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_lightly_edited_and_cut_items_are_found():
+    items = [(i, prose(i, 20 + i)) for i in range(30)]
+    index = decontamination.Index(items)
+    found = Counter()
+    for i, item in items:
+        w = item.split()
+        cut = len(w) // 5
+        for kind, text in (("words", replaced(item, i, 8)), ("end", " ".join(w[:-cut])), ("start", " ".join(w[cut:])), ("none", prose(900 + i, 25))):
+            found[kind] += i in {r[0] for r in index.find(f"{prose(100 + i, 20)} {text} {prose(200 + i, 20)}")}
+    assert found["words"] >= 28 and (found["end"], found["start"], found["none"]) == (30, 30, 0)
+
+
 def test_short_items_are_found_on_word_boundaries(spark):
     items = ["What is the capital of Chad?", "光合作用在哪里发生", "N'Djamena, Chad", "yes", None]
     index = decontamination.Index([(i, t) for i, t in enumerate(items) if t])

@@ -9,6 +9,7 @@ case, letters and digits kept, every run of other characters one space.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from ._shared import lean
 from ._words import U64, mix
 
-Q, RATE = 12, 0.06
+Q, RATE = 7, 0.13
+#: Share of an item, from its beginning or up to its end, that is a match where the whole is not found.
+SHARE = 0.75
 #: Shorter items (in the normal form) are looked for without edits, on word boundaries.
 MIN_CHARS = 40
 #: Characters of the least item searched, where one of U+3000 on counts as three; what is less says too little as text.
@@ -83,6 +86,36 @@ def budget(m: int, rate: float = RATE, q: int = Q) -> tuple[int, int]:
     return k, max(1, m + 1 - (k + 1) * q)
 
 
+def masks(item: np.ndarray) -> dict[int, int]:
+    """For each character the bits of its places in the item."""
+    out: dict[int, int] = {}
+    for i, c in enumerate(item.tolist()):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def near(bits: dict[int, int], m: int, text: np.ndarray, k: int) -> bool:
+    """Whether an item of m characters occurs anywhere in ``text`` with at most k edits (Myers' bit vectors)."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, cost = full, 0, m
+    for c in text.tolist():
+        eq = bits.get(c, 0)
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        ph = minus | (full & ~(xh | plus))
+        mh = plus & xh
+        if ph & top:
+            cost += 1
+        elif mh & top:
+            cost -= 1
+            if cost <= k:
+                return True
+        ph = ph << 1 & full
+        plus = (mh << 1 & full) | (full & ~(xv | ph))
+        minus = ph & xv
+    return cost <= k
+
+
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best occurrence of ``item`` in ``text`` starting on diagonals low..high, with at most
     k edits: only cells within k of those diagonals are filled, row by row."""
@@ -133,6 +166,7 @@ class Index:
         self.q, self.ids, self.codes, self.budgets = q, [], [], []
         self.short: dict[str, list[int]] = {}
         self._automaton = None
+        self._masks: dict[tuple[int, int, int], dict[int, int]] = {}
         hashes, place, which = [], [], []
         for item_id, text in items:
             code, _ = normal(text)
@@ -156,7 +190,10 @@ class Index:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.keys >> U64(64 - _BITS)] = True
         self.k = np.array([k for k, _ in self.budgets])
-        self.least = np.array([t for _, t in self.budgets])
+        #: Characters of the share, or 0 where it would be too short, and its budget.
+        self.share = [c if (c := math.ceil(SHARE * len(code))) >= max(MIN_CHARS, 2 * q) else 0 for code in self.codes]
+        self.part = [budget(c, rate, q) if c else b for c, b in zip(self.share, self.budgets)]
+        self.least = np.array([min(t, s) for (_, t), (_, s) in zip(self.budgets, self.part)])
 
     def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, diagonal) of every q-gram that the text shares with an item."""
@@ -172,14 +209,25 @@ class Index:
 
     def _unedited(self, code: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> dict[int, list[int]]:
         """The diagonals on which an item stands letter for letter; these need no alignment."""
-        key, n = np.unique(np.stack((item, diagonal), 1), axis=0, return_counts=True)
+        low = int(diagonal.min())
+        width = int(diagonal.max()) - low + 1
+        key, n = np.unique(item * width + (diagonal - low), return_counts=True)
         out: dict[int, list[int]] = {}
-        for (i, d), shared in zip(key.tolist(), n.tolist()):
-            m = len(self.codes[i])
-            if shared > m - self.q and np.array_equal(code[d : d + m], self.codes[i]):
+        size = np.array([len(c) for c in self.codes])
+        key = key[n > size[key // width] - self.q]
+        for i, d in zip((key // width).tolist(), (key % width + low).tolist()):
+            if np.array_equal(code[d : d + len(self.codes[i])], self.codes[i]):
                 out.setdefault(i, []).append(d)
         return out
 
+    def _aligned(self, i: int, a: int, b: int, code: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
+        """``align`` for characters a..b of item i, only where the cheaper ``near`` finds them around these diagonals."""
+        item = self.codes[i][a:b]
+        if (i, a, b) not in self._masks:
+            self._masks[i, a, b] = masks(item)
+        around = code[max(0, low + a - k) : max(0, high + b + k + 1)]
+        return align(item, code, low + a, high + a, k) if near(self._masks[i, a, b], b - a, around, k) else None
+
     def _find_short(self, code: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Regions equal to a short item that begin and end at a word boundary; CJK characters are bounded anywhere."""
         if self._automaton is None:
@@ -217,23 +265,30 @@ class Index:
         whole = self._unedited(code, item, diagonal)
         # two bands of 2 (k + 1) diagonals hold each diagonal
         half = diagonal // (self.k[item] + 1)
-        both = np.concatenate((half, half - 1))
-        pair = np.stack((np.concatenate((item, item)), both), 1)
-        bands, n = np.unique(pair, axis=0, return_counts=True)
+        low = int(half.min()) - 1
+        width = int(half.max()) - low + 1
+        key = item * width + (half - low)
+        key, n = np.unique(np.concatenate((key, key - 1)), return_counts=True)
+        some = n >= self.least[key // width]
         out: list[tuple[int, int, int, int]] = []
+        parts: list[tuple[int, int, int, int]] = []
         seen: set[tuple[int, int, int]] = set()
-        for (i, b), shared in zip(bands.tolist(), n.tolist()):
-            k, least = self.budgets[i]
-            if shared < least:
-                continue
-            low = b * (k + 1)
-            exact = [d for d in whole.get(i, ()) if low <= d < low + 2 * (k + 1)]
-            got = (0, exact[0], exact[0] + len(self.codes[i])) if exact else align(self.codes[i], code, low, low + 2 * (k + 1) - 1, k)
-            if got and (i, got[1], got[2]) not in seen:
+        for i, b, shared in zip((key[some] // width).tolist(), (key[some] % width + low).tolist(), n[some].tolist()):
+            (k, least), whole_item = self.budgets[i], self.codes[i]
+            first = b * (k + 1)
+            last = first + 2 * (k + 1) - 1
+            exact = [d for d in whole.get(i, ()) if first <= d <= last]
+            got = (0, exact[0], exact[0] + len(whole_item)) if exact else self._aligned(i, 0, len(whole_item), code, first, last, k) if shared >= least else None
+            found = out
+            if not got and (c := self.share[i]) and shared >= self.part[i][1]:
+                off, found, k = len(whole_item) - c, parts, self.part[i][0]
+                got = self._aligned(i, 0, c, code, first, last, k) or self._aligned(i, off, len(whole_item), code, first, last, k)
+            if got and got[2] > got[1] and (i, got[1], got[2]) not in seen:
                 seen.add((i, got[1], got[2]))
-                out.append((self.ids[i], int(at[got[1]]), int(at[got[2] - 1]) + 1, got[0]))
+                found.append((self.ids[i], int(at[got[1]]), int(at[got[2] - 1]) + 1, got[0]))
         # overlapping bands can end on neighbouring alignments of one occurrence: the best one stays
         out.sort(key=lambda r: (r[3], r[0] is None, r[0], r[1]))
+        out += sorted(parts, key=lambda r: (r[3], r[0] is None, r[0], r[1]))  # only where the whole isn't found
         kept: list[tuple[int, int, int, int]] = []
         for r in out:
             if not any(r[0] == s[0] and r[1] < s[2] and s[1] < r[2] for s in kept):
@@ -254,7 +309,8 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """(doc_id, item_id, start, end, edits): regions of whole documents that match a whole item within its edit budget.
+    """(doc_id, item_id, start, end, edits): regions of whole documents that match a whole item within its edit budget,
+    or, where the whole is not found, the first or last SHARE of it within that part's budget (edits are then the part's).
 
     start and end are characters of the text, end exclusive. Items shorter than MIN_CHARS in the normal form match
     without edits, on word boundaries; those of ``not_searchable`` and null texts match nothing; a null doc_id is carried as it is; equal items under different ids are each reported,
