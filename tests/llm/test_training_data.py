@@ -696,3 +696,43 @@ def test_licence_scan(spark):
     assert {k: (len(v.found), v.strictest) for k, v in got.items()} == {3: (1, "permissive"), 4: (2, "noncommercial"), 5: (1, "strong-copyleft")}
     assert texts[4][got[4].found[1].start :].startswith("CC BY-NC")
     assert license_scan.scan(docs_of(spark, [])).count() == 0
+
+
+# buckets -----------------------------------------------------------------------------------------------------------
+
+
+def bucket_case(spark, nodes, keys, texts):
+    """(labels, nodes) that groups gives for nodes with these bands; equal letters of ``texts`` are equal bags."""
+    from vellumry.llm._near import groups
+
+    schema = "node long, bands array<long>, sig binary"
+    banded = spark.createDataFrame([(n, k, bytes([ord(t)]) * 16) for n, k, t in zip(nodes, keys, texts)], schema)
+    bags = spark.createDataFrame([(n, np.full(1, ord(t), np.uint32).tobytes()) for n, t in zip(nodes, texts)], "node long, bag binary")
+    got = groups(banded, lambda some: bags.dropDuplicates(["node"]).join(some, "node"), 0.9, 0.5)
+    return {r.node: r.label for r in got[1].collect()}, got[0].count()
+
+
+def test_a_bucket_of_several_components_loses_no_link(spark, monkeypatch):
+    from vellumry.llm import _near
+
+    monkeypatch.setattr(_near, "BLOCK", 3)
+    r = random.Random(8)
+    texts = [r.choice("abcdefgh") for _ in range(60)]
+    labels, _ = bucket_case(spark, range(60), [[7]] * 60, texts)
+    for t in set(texts):
+        same = [i for i in range(60) if texts[i] == t]
+        assert {labels.get(i) for i in same} == ({same[0]} if len(same) > 1 else {None})
+    # two buckets whose only link is one node, and equal nodes that repeat
+    labels, pairs = bucket_case(spark, [1, 2, 2, 3, 4], [[1], [1, 2], [1, 2], [2], [3]], "aaaaa")
+    assert labels == {1: 1, 2: 1, 3: 1} and pairs == 2
+
+
+def test_a_bucket_of_very_many_members(spark):
+    """One key that all rows share: no row, task or driver holds them together."""
+    from vellumry.llm._near import groups
+
+    n = 200_000
+    banded = spark.range(n).select(F.col("id").alias("node"), F.array(F.lit(5), F.col("id") + 10).alias("bands"), F.lit(b"s" * 16).alias("sig"))
+    bags = spark.range(n).select(F.col("id").alias("node"), F.lit(b"abcd").alias("bag"))
+    labels = groups(banded, lambda some: bags.join(some, "node"), 0.9, 0.5)[1]
+    assert labels.agg(F.count("*"), F.min("label"), F.max("label")).first() == (n, 0, 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
@@ -14,8 +14,8 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours (those above it for large, those below it for small) to its least neighbour."""
-    least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-    w = pairs.withColumn("m", least)
+    # aggregated first and joined back: a centre of very many nodes is one row a task, and its edges can be split
+    w = pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
     if large:
         return w.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     down = w.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -25,7 +25,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): label is the least node of its component. Nodes without an edge are absent; loops are ignored.
 
-    Each round has two shuffles of the edge list and ends in a written table; stars need two rounds, paths of
+    Each round aggregates and joins the edge list twice and ends in a written table; stars need two rounds, paths of
     length n about log n.
     """
     e = written(

@@ -1,8 +1,9 @@
 """From signatures to verified groups, for documents (operator 7) and paragraphs (operator 10) alike.
 
-Two bounded joins replace all pairs inside a bucket: first every member against the bucket's least node, then, only
-where a bucket still holds several components, all pairs across those components. No pair is left out: a pair whose
-ends are already connected cannot change the components.
+A bucket is never one row. First every member is compared with the bucket's least node, one row a member. Only where a
+bucket then still holds several components, the members outside its least node's component are compared with the rest
+of it, in blocks of bounded size whose signatures are compared inside the block; only pairs that look alike leave it.
+No pair is left out: a pair whose ends are already connected cannot change the components.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._shared import small, written
 
-#: Pairs that one batch of the cross-component expansion holds.
-PAIR_CHUNK = 1 << 18
+#: Members of a block, on average; a bucket has as many blocks as it needs.
+BLOCK = 512
 
 
 def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
@@ -47,10 +48,16 @@ def binary_array(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     )
 
 
-def estimate(a: bytes, b: bytes) -> float:
-    """Jaccard estimated from one byte of each signature value, corrected for chance agreement."""
-    same = np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)
-    return (same.mean() - 1 / 256) / (1 - 1 / 256)
+def _matrix(values: pa.Array) -> np.ndarray:
+    """Binary values of one width as the rows of a byte matrix."""
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(len(values), -1)
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Jaccard estimated from one byte of each signature value, row by row, corrected for chance agreement."""
+    return ((x == y).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -64,11 +71,20 @@ def overlap(a: bytes, b: bytes) -> float:
     return same / (len(x) + len(y) - same)
 
 
-def _filter(test: Callable[[bytes, bytes], float], least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _estimates(left: pa.Array, right: pa.Array) -> np.ndarray:
+    return agreement(_matrix(left), _matrix(right))
+
+
+def _overlaps(left: pa.Array, right: pa.Array) -> np.ndarray:
+    return np.array([overlap(p.as_buffer(), q.as_buffer()) for p, q in zip(left, right)])
+
+
+def _filter(test: Callable[[pa.Array, pa.Array], np.ndarray], least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("x"), batch.column("y")
-            score = np.array([test(p.as_buffer(), q.as_buffer()) for p, q in zip(left, right)])
+            if not batch.num_rows:
+                continue
+            score = test(batch.column("x"), batch.column("y"))
             keep = np.flatnonzero(score >= least)
             if len(keep):
                 yield pa.RecordBatch.from_arrays(
@@ -89,61 +105,84 @@ def _compare(pairs: DataFrame, table: DataFrame, column: str, test: Callable, le
     )
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a bucket whose labels differ."""
-    for batch in batches:
-        for members in batch.column("members").to_pylist():
-            node = np.array([m["node"] for m in members])
-            label = np.array([m["label"] for m in members])
-            order = np.argsort(node)
-            node, label = node[order], label[order]
-            step = max(1, PAIR_CHUNK // len(node))
-            for at in range(0, len(node), step):
-                i, j = np.nonzero((label[at : at + step, None] != label[None, :]) & (node[at : at + step, None] < node[None, :]))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at + i]), pa.array(node[j])], ["a", "b"])
+def _parts(block: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, labels and signatures of a block."""
+    node, label, sig = block.values.flatten()
+    return node.to_numpy(), label.to_numpy(), _matrix(sig)
+
+
+def _across(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of two blocks whose labels differ and whose signatures look alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column("l"), batch.column("r")):
+                (x, p, s), (y, q, t) = _parts(left), _parts(right)
+                for node, label, sig in zip(x, p, s):
+                    at = np.flatnonzero((q != label) & (agreement(sig, t) >= least))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, y[at])), pa.array(np.maximum(node, y[at]))], ["a", "b"])
+
+    return run
 
 
 def groups(banded: DataFrame, bags: Callable[[DataFrame], DataFrame], least: float, doubt: float) -> tuple[DataFrame, DataFrame]:
     """(verified pairs a < b with their jaccard, node -> label of their components).
 
-    banded: node, bands array<long>, sig binary; equal nodes may repeat. bags: given a table of nodes, returns
-    (node, bag) once for each. least: exact Jaccard that a pair must reach. doubt: estimate below which a pair is
-    dropped before its bags are moved (four standard errors under ``least`` or lower).
+    banded: node, bands array<long>, sig binary of one width; equal nodes may repeat. bags: given a table of nodes,
+    returns (node, bag) once for each. least: exact Jaccard that a pair must reach. doubt: estimate below which a pair
+    is dropped before its bags are moved (four standard errors under ``least`` or lower). A key that a third of all
+    rows share is aggregated before it is shuffled, and where its members join it, adaptive execution splits it.
     """
-    buckets = (
-        banded.select("node", F.explode("bands").alias("key"))
-        .groupBy("key")
-        .agg(F.collect_set("node").alias("nodes"))
-        .filter(F.size("nodes") > 1)
-        .select(F.array_sort("nodes").alias("nodes"))
-        .distinct()
-    )
-    buckets = written(buckets.withColumn("bucket", F.xxhash64("nodes")), "buckets")
-    members = buckets.select(F.explode("nodes").alias("node")).distinct()
-    sigs = banded.join(small(members, 16), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
+    keyed = banded.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a < hi").drop("hi")
+    shared = written(shared, "shared")
+    members = written(keyed.join(small(shared, 64), "key").select("key", "a", "node").distinct(), "members")
+    nodes = members.select("node").distinct()
+    sigs = banded.join(small(nodes, 48), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
     sigs = written(sigs, "signatures")
     # both rounds compare nodes of buckets, so that one pass over the texts gives the bags of both
-    held = bags(members)
+    held = bags(nodes)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        likely = written(_compare(pairs, sigs, "sig", estimate, doubt), "likely")
-        return written(_compare(likely.select("a", "b"), held, "bag", overlap, least), "verified")
+    def verified(likely: DataFrame) -> DataFrame:
+        return written(_compare(likely.select("a", "b"), held, "bag", _overlaps, least), "verified")
 
-    stars = buckets.select(F.element_at("nodes", 1).alias("a"), F.explode(F.slice("nodes", 2, F.size("nodes"))).alias("b"))
-    first = verified(stars.distinct())
+    stars = members.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    first = verified(written(_compare(stars, sigs, "sig", _estimates, doubt), "likely"))
     labels = written(components(first), "labels")
-    split = (
-        buckets.select("bucket", F.explode("nodes").alias("node"))
-        .join(labels, "node", "left")
-        .select("bucket", F.struct("node", F.coalesce("label", "node").alias("label")).alias("m"))
-        .groupBy("bucket")
-        .agg(F.collect_list("m").alias("members"), F.min("m.label").alias("lo"), F.max("m.label").alias("hi"))
-        .filter("lo < hi")
-    )
-    rest = written(split.select("members").mapInArrow(_across, "a long, b long").distinct().join(stars.distinct(), ["a", "b"], "left_anti"), "rest")
-    if not rest.limit(1).count():
+    rest = _rest(members, labels, sigs, doubt)
+    if rest is None:
         return first, labels
-    second = verified(rest)
-    pairs = first.unionByName(second)
+    pairs = first.unionByName(verified(rest))
     return pairs, written(components(pairs), "labels")
+
+
+def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame, doubt: float) -> DataFrame | None:
+    """Pairs that look alike and whose ends share a bucket but no component yet; None without a bucket of several."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = written(labelled, "labelled")
+    mixed = (
+        labelled.groupBy("key")
+        .agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"),
+            F.bit_xor(F.xxhash64("node")).alias("print"), F.max(F.when(F.col("node") == F.col("a"), F.col("label"))).alias("main"),
+        )
+        .filter("lo < hi")
+        # buckets of the same members are looked at once
+        .groupBy("lo", "hi", "n", "print", "main")
+        .agg(F.min("key").alias("key"))
+    )
+    mixed = written(mixed.select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks")), "mixed")
+    if not mixed.limit(1).count():
+        return None
+    blocks = (
+        labelled.join(small(mixed, 64), "key")
+        .join(sigs, "node")
+        .groupBy("key", (F.col("label") != F.col("main")).alias("stray"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+        .agg(F.collect_list(F.struct("node", "label", "sig")).alias("m"))
+    )
+    blocks = written(blocks, "blocks")
+    left = blocks.filter("stray").select("key", F.col("block").alias("i"), F.col("m").alias("l"))
+    right = blocks.select("key", "stray", F.col("block").alias("j"), F.col("m").alias("r"))
+    both = left.join(right, "key").filter("not stray or i <= j").select("l", "r")
+    return written(both.mapInArrow(_across(doubt), "a long, b long").distinct(), "rest")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,25 +15,31 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 
-#: Rows of an Arrow batch: texts can be long, and a batch is held several times over by the JVM and by Python.
-BATCH_ROWS = 1000
+#: Rows looked at together: texts can be long, and Python holds what it looks at several times over.
+BATCH_ROWS = 500
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """``df``, whose session from now on sends Python small batches, unless it already asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most BATCH_ROWS rows; Spark bounds the bytes of a batch itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
+_own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir if the session names one; else (tests on one machine) a temporary folder, set once."""
+    """A folder of this application in spark.checkpoint.dir. Where none is set, a temporary one serves a session that runs
+    in a single process; on a cluster, whose machines would each write to their own disk, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="vellumry-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if "folder" not in _own:
+            _own["folder"] = tempfile.mkdtemp(prefix="vellumry-")
+        base = _own["folder"]
     return f"{base.rstrip('/')}/vellumry-{spark.sparkContext.applicationId}"
 
 

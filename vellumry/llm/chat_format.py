@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lean
+from ._shared import portions
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -79,7 +79,7 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER, template: Te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _tokenizer(tokenizer)
-        for batch in batches:
+        for batch in portions(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rendered = [template.render([(t["role"], t["text"]) for t in turns]) for turns in part.column("turns").to_pylist()]
@@ -101,7 +101,7 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER, template: Te
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     whole = (
-        lean(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+        conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list("t")).alias("turns"))
         .select("conv_id", F.size("turns").alias("n_turns"), F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lean
+from ._shared import portions
 from ._words import U64, mix
 
 Q, RATE = 7, 0.13
@@ -324,21 +324,21 @@ def not_searchable(benchmark: DataFrame) -> DataFrame:
     """(item_id, text) of the benchmark's items that are never looked for: null, or under MIN_WEIGHT in the normal form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             yield batch.filter(pa.array([t is None or weight(normal(t)[0]) < MIN_WEIGHT for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return lean(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, text string")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, text string")
 
 
 def _located(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    keyed = lean(docs).select("doc_id", F.xxhash64("text").alias("node"), "text")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
     found = None
     for part in _parts(benchmark):
         index = sc.broadcast(Index(part, rate))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches):
                 at, rows = [], []
                 for i, text in enumerate(batch.column("text")):
                     for r in index.value.find(text.as_py() or ""):
@@ -364,12 +364,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     """
     sc, schema = docs.sparkSession.sparkContext, docs.schema
     at = docs.columns.index("text")
-    out = lean(docs)
+    out = docs
     for part in _parts(benchmark):
         index = sc.broadcast(Index(part, rate))
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches):
                 keep = [not index.value.find(text.as_py() or "") for text in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

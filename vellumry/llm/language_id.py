@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import lean
+from ._shared import portions
 
 #: Training rows per language, at most; the only bounded sample of this operator.
 TRAIN_ROWS = 400
@@ -156,14 +156,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             best, gaps, ambiguous = _verdicts(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("lang"), pa.array(best, pa.string()), pa.array(gaps, pa.float64()), pa.array(ambiguous, pa.bool_())],
                 ["doc_id", "lang", "predicted", "gap", "ambiguous"],
             )
 
-    kept = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     return kept.mapInArrow(run, "doc_id long, lang string, predicted string, gap double, ambiguous boolean")
 
 
@@ -172,10 +172,10 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             yield batch.filter(pa.array([not x for x in _verdicts(batch.column(at), shared.value)[2]], pa.bool_()))
 
-    return lean(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lean
+from ._shared import portions
 
 #: Obligations of a licence, in rising order.
 CLASSES = ("permissive", "weak-copyleft", "strong-copyleft", "noncommercial", "unknown")
@@ -163,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
     kind = pa.struct([("expression", pa.string()), ("class", pa.string()), ("start", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             at, found, strict = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 got = find(text) if text else []
@@ -173,7 +173,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     strict.append(max((g[1] for g in got), key=CLASSES.index))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(found, pa.list_(kind)), pa.array(strict, pa.string())], ["doc_id", "found", "strictest"])
 
-    kept = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return kept.mapInArrow(run, "doc_id long, found array<struct<expression: string, class: string, start: int>>, strictest string")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lean
+from ._shared import portions
 from .webp import CROSS_COLOUR, PALETTE, PREDICTOR, SUBTRACT_GREEN, Damaged, decode, encode
 
 #: Rows decoded between two output batches, which bounds memory.
@@ -25,7 +25,7 @@ def decoded(images: DataFrame, key: str = "image_id", column: str = "image") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
                 rows = []
@@ -45,7 +45,7 @@ def decoded(images: DataFrame, key: str = "image_id", column: str = "image") ->
                     [key, "width", "height", "pixels", "error"],
                 )
 
-    kept = lean(images).select(F.col(key).cast("long").alias(key), F.col(column).cast("binary").alias(column))
+    kept = images.select(F.col(key).cast("long").alias(key), F.col(column).cast("binary").alias(column))
     return kept.mapInArrow(run, f"{key} long, width int, height int, pixels array<long>, error string")
 
 
@@ -65,7 +65,7 @@ def images_of(embeddings: DataFrame) -> DataFrame:
     of the pixel that many before the end; null and empty vectors give a null image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             files = []
             for key, vector in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()):
                 if not vector or None in vector:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._near import band_keys, binary_array, groups, list_array
-from ._shared import lean, small, written
+from ._shared import portions, small, written
 from ._words import U64, bags, mix, shingles, text_slices, words
 
 SIZE, BANDS, SHINGLE = 128, 32, 2
@@ -60,7 +60,7 @@ def _bag(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         for first, last, row, element, weight in _bag(batch.column("text")):
             some = np.unique(row)
             if not len(some):
@@ -85,7 +85,7 @@ def occurrence_sets(row: np.ndarray, element: np.ndarray, weight: np.ndarray, ro
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         for first, last, row, element, weight in _bag(batch.column("text")):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").slice(first, last - first), occurrence_sets(row, element, weight, last - first)], ["node", "bag"]
@@ -93,7 +93,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return lean(docs).select(F.col("doc_id"), F.col("text")).filter("text rlike '[\\\\p{L}\\\\p{N}]'").withColumn("node", F.xxhash64("text"))
+    return docs.select(F.col("doc_id"), F.col("text")).filter("text rlike '[\\\\p{L}\\\\p{N}]'").withColumn("node", F.xxhash64("text"))
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -102,7 +102,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     banded = written(keyed.mapInArrow(_sign, "node long, bands array<long>, sig binary"), "signed")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        some = keyed.join(small(nodes, 16), "node", "left_semi")
+        some = keyed.join(small(nodes, 48), "node", "left_semi")
         return written(some.mapInArrow(_bags, "node long, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
     return groups(banded, texts_of, threshold, min(DOUBT, threshold))[1]
@@ -149,12 +149,12 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gone = g.filter(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias(key), F.col("node").alias(node), (kept & (F.col("n") > 1)).alias(one))
     marked = docs.withColumn(h, F.xxhash64("text"))
     same = (F.col(h) == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(key))
-    stay = marked.join(small(gone.select(key, node), 32), same, "left_anti").drop(h)
+    stay = marked.join(small(gone.select(key, node), 96), same, "left_anti").drop(h)
     repeated = gone.filter(one)
     if not repeated.limit(1).count():
         return stay
     # the kept row itself occurs several times: one of the repetitions returns
-    back = marked.join(small(repeated.select(key, node), 32), same, "left_semi").dropDuplicates(["doc_id", h]).drop(h)
+    back = marked.join(small(repeated.select(key, node), 96), same, "left_semi").dropDuplicates(["doc_id", h]).drop(h)
     return stay.unionByName(back)
 
 

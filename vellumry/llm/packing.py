@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lean, written
+from ._shared import portions, written
 from .chat_format import TOKENIZER, _tokenizer
 
 CAPACITY = 2048
@@ -120,14 +120,14 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Counts(_tokenizer(tokenizer))
-        for batch in batches:
+        for batch in portions(batches):
             text = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
             some = pc.match_substring_regex(text, r"[^\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]")
             ids, text = batch.column("doc_id").filter(some), text.filter(some)
             n = [1 + sum(map(known.__getitem__, _PIECE.findall(t))) for t in text.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
-    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lean
+from ._shared import portions
 
 CUES = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "api-key", "apikey", "access_key", "private_key")
 KEY_PREFIXES = ("AKIA", "ASIA")
@@ -165,14 +165,14 @@ def scan(docs: DataFrame) -> DataFrame:
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column("text").to_pylist()
             found = [find(t) if t else [] for t in texts]
             clean = [redact(t, f) if f else t for t, f in zip(texts, found)]
             rows = [[dict(zip(("kind", "start", "end"), x)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(clean, pa.string()), pa.array(rows, pa.list_(kind))], ["doc_id", "text", "found"])
 
-    kept = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return kept.mapInArrow(run, "doc_id long, text string, found array<struct<kind: string, start: int, end: int>>")
 
 
@@ -181,11 +181,11 @@ def redacted(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             clean = [redact(t, f) if t and (f := find(t)) else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
-    out = lean(docs).mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out

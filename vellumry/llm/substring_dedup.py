@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._near import band_keys, binary_array, groups, list_array
-from ._shared import lean, small, written
+from ._shared import portions, small, written
 from ._words import U64, bags, mix, shingles, span_hashes, text_slices, words
 from .minhash_dedup import occurrence_sets
 
@@ -92,7 +92,7 @@ def _positions(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, first: np
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         for at, _, data, offsets, h, row, s, e, line in _sliced(batch.column("text")):
             # cut over the whole text, where line breaks are white space, and line by line; most pieces are the same
             spans = []
@@ -112,7 +112,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch], give: str) -> Iterator[pa.Rec
     """Paragraphs long enough: with their signatures, their bags or their positions."""
     bands = tuned_bands(THRESHOLD, RECALL)
     seeds = mix(np.arange(1, bands * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-    for batch in batches:
+    for batch in portions(batches):
         for at, _, data, offsets, h, row, s, e, line in _sliced(batch.column("text")):
             first, last = _runs(_lines(row, line))
             long = last - first >= PARAGRAPH_WORDS
@@ -147,11 +147,11 @@ def _near_lines(docs: DataFrame) -> DataFrame:
 
     def bags_of(nodes: DataFrame) -> DataFrame:
         all_bags = text.mapInArrow(lambda b: _paragraphs(b, "bag"), "node long, bag binary")
-        return written(all_bags.join(small(nodes, 16), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+        return written(all_bags.join(small(nodes, 48), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
     labels = groups(banded, bags_of, THRESHOLD, THRESHOLD - 0.3)[1]
     places = docs.select("doc_id", "text").mapInArrow(lambda b: _paragraphs(b, "place"), "doc_id long, node long, w0 int, w1 int, c0 int, c1 int")
-    found = written(places.join(small(labels, 24), "node").drop("node"), "places")
+    found = written(places.join(small(labels, 64), "node").drop("node"), "places")
     least = found.groupBy("label").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("hi")).filter("kept_doc_id < hi").drop("hi")
     return found.join(least, "label").filter("doc_id <> kept_doc_id").drop("label")
 
@@ -164,7 +164,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Repetition inside one document is no repetition across documents and is not reported; rows with the same doc_id
     count as one document. Rows whose text or doc_id is null are ignored; other columns are not read.
     """
-    docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     pieces = docs.mapInArrow(_pieces, "doc_id long, key long, w0 int, w1 int, c0 int, c1 int")
     # keys alone are aggregated first, with map-side combining: a piece in millions of documents is one row a task
     shared = pieces.groupBy("key").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("hi")).filter("kept_doc_id < hi").drop("hi")
