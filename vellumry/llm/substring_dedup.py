@@ -6,8 +6,9 @@ A paragraph is a line. Two granularities are searched:
   threshold, colliding paragraphs joined, exact Jaccard verified, groups formed by connected components.
 * Passages anywhere: a text is cut where a word pair's hash is the least of its neighbourhood (the one-row MinHash of
   that window), so equal passages are cut equally wherever they stand and however their lines are wrapped. It is cut a
-  second time with line breaks as forced cuts, for short passages of whole lines. Pieces join on the hash of all their
-  words, which is Jaccard 1, and adjacent repeated pieces merge.
+  second time with line breaks as forced cuts, for short passages of whole lines. Windows of two pieces or more, each
+  overlapping the next by a piece, join on the hash of all their words, which is Jaccard 1; overlapping windows kept by
+  the same document make up a passage.
 
 In each group the document of least doc_id keeps its text; every other occurrence is a removal.
 """
@@ -27,10 +28,10 @@ from ._words import U64, bags, mix, shingles, span_hashes, text_slices, words
 from .minhash_dedup import occurrence_sets
 
 THRESHOLD, RECALL, ROWS = 0.75, 0.97, 4
-#: Words of the least paragraph compared, and of the least removal reported.
+#: Words of the least paragraph compared, and of the least removal that one other document holds whole.
 PARAGRAPH_WORDS = MIN_WORDS = 16
-#: Words on either side that decide a cut; words of the least piece that is joined; unmatched words a removal may bridge.
-REACH, PIECE_WORDS, BRIDGE = 5, 4, 3
+#: Words on either side that decide a cut; words of the least piece at an edge; words of the least window that is joined.
+REACH, PIECE_WORDS, WINDOW_WORDS = 3, 3, 8
 
 
 def tuned_bands(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -91,17 +92,33 @@ def _positions(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, first: np
     return [pa.array(x, pa.int32()) for x in (first - begin[r], last - begin[r], chars[s[first]] - base[r], chars[e[last - 1]] - base[r])]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in portions(batches):
+def windows(first: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after the last) of the windows over pieces that begin at the words ``first``: from each piece
+    on, two pieces or as many as WINDOW_WORDS words need, inside their row. A row of one piece is a window itself."""
+    n = len(first)
+    ends = np.append(first[1:], len(row))
+    last = np.maximum(np.arange(n) + 1, np.searchsorted(ends, first + WINDOW_WORDS))
+    inside = last < n
+    last[~inside] = n - 1
+    same = inside & (row[first] == row[first[last]])
+    of = row[first]
+    alone = np.ones(n, bool)
+    alone[1:] &= of[1:] != of[:-1]
+    alone[:-1] &= of[1:] != of[:-1]
+    alone &= ends - first >= WINDOW_WORDS
+    return np.append(first[same], first[alone]), np.append(ends[last[same]], ends[alone])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         for at, _, data, offsets, h, row, s, e, line in _sliced(batch.column("text")):
-            # cut over the whole text, where line breaks are white space, and line by line; most pieces are the same
+            # cut over the whole text, where line breaks are white space, and line by line; most windows are the same
             spans = []
             for new in (_lines(row, np.zeros_like(line)), _lines(row, line)):
-                spans.append(np.stack(_runs(new | cuts(h, np.cumsum(new, dtype=np.int32)))))
+                first = np.flatnonzero(new | cuts(h, np.cumsum(new, dtype=np.int32)))
+                spans.append(np.stack(windows(first, row)))
             both = np.concatenate(spans, 1)
             first, last = np.divmod(np.unique(both[0] * (len(h) + 1) + both[1]), len(h) + 1)
-            long = last - first >= PIECE_WORDS
-            first, last = first[long], last[long]
             if len(first):
                 ids = batch.column("doc_id").take(pa.array(at + row[first]))
                 key = pa.array(span_hashes(h, first, last).view(np.int64))
@@ -156,32 +173,37 @@ def _near_lines(docs: DataFrame) -> DataFrame:
     return found.join(least, "label").filter("doc_id <> kept_doc_id").drop("label")
 
 
+def _joined(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of equal ``keys`` joined where they overlap, or where they touch if they are passages already."""
+    w = Window.partitionBy(*keys).orderBy("w0", "w1")
+    before = F.max("w1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.col("w0") > before if keys == ["doc_id"] else F.col("w0") >= before
+    return (
+        spans.withColumn("region", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "region")
+        .agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.collect_set("kept_doc_id").alias("kept"))
+        .drop("region")
+    )
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row for each removal: doc_id, start and end (characters, end exclusive), n_words, kept_doc_ids.
 
-    kept_doc_ids lists the documents, of lower doc_id, that keep the removal's pieces. Removals of one document do not
-    overlap, have MIN_WORDS words or more and are maximal. Letter case (of ASCII), punctuation and spacing are ignored.
-    Repetition inside one document is no repetition across documents and is not reported; rows with the same doc_id
-    count as one document. Rows whose text or doc_id is null are ignored; other columns are not read.
+    A removal is made up of passages of MIN_WORDS words or more, each kept by one document of lower doc_id: kept_doc_ids
+    lists these. Passages that overlap or touch are one removal. A passage may begin and end up to about ten words
+    inside the repetition, at the first cut. Letter case (of ASCII), punctuation and spacing are ignored. Repetition inside one document is no
+    repetition across documents and is not reported; rows with the same doc_id count as one document. Rows whose text
+    or doc_id is null are ignored; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    pieces = docs.mapInArrow(_pieces, "doc_id long, key long, w0 int, w1 int, c0 int, c1 int")
-    # keys alone are aggregated first, with map-side combining: a piece in millions of documents is one row a task
-    shared = pieces.groupBy("key").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("hi")).filter("kept_doc_id < hi").drop("hi")
-    exact = pieces.join(shared, "key").filter("doc_id <> kept_doc_id").drop("key")
-    spans = exact.unionByName(_near_lines(docs))
-    w = Window.partitionBy("doc_id").orderBy("w0", "w1")
-    before = F.max("w1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        spans.withColumn("new", F.coalesce((F.col("w0") > before + BRIDGE).cast("int"), F.lit(1)))
-        .withColumn("region", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "region")
-        .agg(
-            F.min("c0").alias("start"), F.max("c1").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"),
-            F.array_sort(F.collect_set("kept_doc_id")).alias("kept_doc_ids"),
-        )
-        .filter(F.col("n_words") >= MIN_WORDS)
-        .drop("region")
+    found = docs.mapInArrow(_windows, "doc_id long, key long, w0 int, w1 int, c0 int, c1 int")
+    # keys alone are aggregated first, with map-side combining: a window in millions of documents is one row a task
+    shared = found.groupBy("key").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("hi")).filter("kept_doc_id < hi").drop("hi")
+    exact = found.join(shared, "key").filter("doc_id <> kept_doc_id").drop("key")
+    held = _joined(exact, ["doc_id", "kept_doc_id"]).filter(F.col("w1") - F.col("w0") >= MIN_WORDS).drop("kept")
+    spans = held.unionByName(_near_lines(docs))
+    return _joined(spans, ["doc_id"]).select(
+        "doc_id", F.col("c0").alias("start"), F.col("c1").alias("end"), (F.col("w1") - F.col("w0")).alias("n_words"), F.array_sort("kept").alias("kept_doc_ids")
     )
 
 
