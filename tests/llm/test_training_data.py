@@ -736,3 +736,27 @@ def test_a_bucket_of_very_many_members(spark):
     bags = spark.range(n).select(F.col("id").alias("node"), F.lit(b"abcd").alias("bag"))
     labels = groups(banded, lambda some: bags.join(some, "node"), 0.9, 0.5)[1]
     assert labels.agg(F.count("*"), F.min("label"), F.max("label")).first() == (n, 0, 0)
+
+
+def test_decontamination_of_one_repeated_letter_is_linear():
+    index = decontamination.Index([(1, "a" * 200), (2, "a" * 190 + "bcdefghijk")])
+    got = index.find("a" * 30_000)
+    for item, edits in ((1, 0), (2, 10)):
+        at = [r[1:] for r in got if r[0] == item]
+        assert all(x[1] <= y[0] for x, y in zip(at, at[1:])) and {r[2] for r in at} == {edits}
+        assert at[0][0] <= 200 and at[-1][1] >= 29_700 and len(at) >= 140
+    assert index.find("a" * 1_000_000, any_one=True)
+
+
+def test_alignment_matches_sellers():
+    for seed in range(60):
+        r = random.Random(seed)
+        item = "".join(r.choice("abc") for _ in range(r.randint(5, 40)))
+        text = "".join(r.choice("abc") for _ in range(20)) + edited(item, r.randint(0, 5), seed) + "".join(r.choice("abc") for _ in range(20))
+        code, around = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (item, text))
+        want = least_edits(item, text)
+        edits, end = decontamination.near(decontamination.masks(code), len(item), around, len(item))
+        assert edits == want
+        again, taken = decontamination.align(code[::-1].tolist(), around[:end][::-1].tolist(), edits)
+        assert again == want == least_edits(item, text[end - taken : end])
+        assert edits == 0 or decontamination.near(decontamination.masks(code), len(item), around, edits - 1) is None

@@ -9,6 +9,7 @@ case, letters and digits kept, every run of other characters one space.
 
 from __future__ import annotations
 
+import bisect
 import math
 import unicodedata
 from collections.abc import Iterator
@@ -23,6 +24,12 @@ from ._shared import portions
 from ._words import U64, mix
 
 Q, RATE = 7, 0.13
+#: The lemma asks for few grams of Q characters, which are cheap to find, and for many of these, which are tested later.
+FINE = 3
+#: Items whose counts and masks a task remembers.
+KNOWN_BAGS = 2000
+#: Matched places of a text that are counted together, which bounds memory.
+HIT_CHUNK = 1 << 16
 #: Share of an item, from its beginning or up to its end, that is a match where the whole is not found.
 SHARE = 0.75
 #: Shorter items (in the normal form) are looked for without edits, on word boundaries.
@@ -94,12 +101,14 @@ def masks(item: np.ndarray) -> dict[int, int]:
     return out
 
 
-def near(bits: dict[int, int], m: int, text: np.ndarray, k: int) -> bool:
-    """Whether an item of m characters occurs anywhere in ``text`` with at most k edits (Myers' bit vectors)."""
+def near(bits: dict[int, int], m: int, text: np.ndarray, k: int) -> tuple[int, int] | None:
+    """(edits, end) of the occurrence of an item of m characters with fewest edits, if at most k (Myers' bit vectors)."""
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, cost = full, 0, m
-    for c in text.tolist():
-        eq = bits.get(c, 0)
+    best, end = k + 1, 0
+    get = bits.get
+    for at, c in enumerate(text.tolist()):
+        eq = get(c, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
         ph = minus | (full & ~(xh | plus))
@@ -108,47 +117,35 @@ def near(bits: dict[int, int], m: int, text: np.ndarray, k: int) -> bool:
             cost += 1
         elif mh & top:
             cost -= 1
-            if cost <= k:
-                return True
+            if cost < best:
+                best, end = cost, at + 1
         ph = ph << 1 & full
         plus = (mh << 1 & full) | (full & ~(xv | ph))
         minus = ph & xv
-    return cost <= k
-
-
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best occurrence of ``item`` in ``text`` starting on diagonals low..high, with at most
-    k edits: only cells within k of those diagonals are filled, row by row."""
-    low, high = low - k, high + k
-    width = high - low + 1
-    at = np.arange(low, high + 1)
-    big = len(item) + k + 1
-    cost = np.where((at >= 0) & (at <= len(text)), 0, big)
-    start = at.copy()
-    step = np.arange(width)
-    padded = np.full(len(text) + 1, 0xFFFFFFFF, np.uint32)
-    padded[: len(text)] = text
-    for i, c in enumerate(item):
-        j = at + i  # the character of the text that a diagonal step takes
-        inside = (j >= 0) & (j < len(text))
-        same = padded[np.where(inside, j, len(text))] == c
-        new = np.where(inside, cost + ~same, big)
-        begin = start
-        up = np.append(cost[1:] + 1, big)  # skip a character of the item
-        take = up < new
-        new, begin = np.where(take, up, new), np.where(take, np.append(start[1:], 0), begin)
-        run = np.minimum.accumulate(new - step)  # skip characters of the text
-        better = run + step < new
-        if better.any():
-            source = np.maximum.accumulate(np.where(new - step == run, step, 0))
-            new, begin = np.where(better & (j < len(text)), run + step, new), np.where(better, begin[source], begin)
-        cost, start = new, begin
-        if cost.min() > k:
-            return None
-    ends = at + len(item)
-    cost = np.where((ends >= 0) & (ends <= len(text)), cost, big)
-    best = int(np.argmin(cost))
-    return (int(cost[best]), int(start[best]), int(ends[best])) if cost[best] <= k else None
+    return (best, end) if best <= k else None
+
+
+def align(item: list[int], text: list[int], k: int) -> tuple[int, int] | None:
+    """(edits, characters taken) of the best alignment of the whole ``item`` with a beginning of ``text``, with at most k
+    edits: only the 2 k + 1 diagonals around the first are filled, row by row. Of equals the one of nearly the item's length."""
+    big, width, n = len(item) + k + 1, 2 * k + 1, len(text)
+    row = [big] * k + list(range(k + 1))  # cell d has taken d - k characters of the text more than of the item
+    for i, c in enumerate(item, 1):
+        new, before = [big] * width, big
+        for d in range(max(0, k - i), min(width, n - i + k + 1)):
+            j = i + d - k
+            cost = row[d] + (text[j - 1] != c) if j else big
+            if d + 1 < width and row[d + 1] + 1 < cost:  # skip a character of the item
+                cost = row[d + 1] + 1
+            if before + 1 < cost:  # skip a character of the text
+                cost = before + 1
+            new[d] = before = cost
+        row = new
+    best = min(row)
+    if best > k:
+        return None
+    d = min((d for d in range(width) if row[d] == best), key=lambda d: abs(d - k))
+    return best, len(item) + d - k
 
 
 def weight(code: np.ndarray) -> int:
@@ -159,13 +156,28 @@ def _string(code: np.ndarray) -> str:
     return code.tobytes().decode("utf-32-le", "surrogatepass")
 
 
+def _regions(starts: list[int], ends: list[int], low: int, high: int, need: int) -> bool:
+    """Whether low..high has ``need`` places in a row outside the sorted disjoint regions."""
+    i = bisect.bisect_right(ends, low)
+    at = low
+    while i < len(starts) and starts[i] < high:
+        if starts[i] - at >= need:
+            return True
+        at = max(at, ends[i])
+        i += 1
+    return high - at >= need
+
+
 class Index:
-    """Where each q-gram of the items occurs."""
+    """Where each q-gram of the items occurs: places at most k + 1 apart, which fall into neighbouring half bands, are one
+    entry, so that a text of one repeated letter has as many hits as any other."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, q: int = Q):
         self.q, self.ids, self.codes, self.budgets = q, [], [], []
         self.short: dict[str, list[int]] = {}
         self._automaton = None
+        self._fine: np.ndarray | None = None
+        self._bags: dict[int, np.ndarray] = {}
         self._masks: dict[tuple[int, int, int], dict[int, int]] = {}
         hashes, place, which = [], [], []
         for item_id, text in items:
@@ -183,50 +195,108 @@ class Index:
             self.budgets.append(budget(len(code), rate, q))
         if not self.ids:
             return
+        self.k = np.array([k for k, _ in self.budgets])
+        self.size = np.array([len(c) for c in self.codes])
         h, p, w = np.concatenate(hashes), np.concatenate(place), np.concatenate(which)
-        order = np.argsort(h, kind="stable")
-        self.place, self.which = p[order], w[order]
-        self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        order = np.lexsort((p, w, h))
+        h, p, w = h[order], p[order], w[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (p[1:] - p[:-1] > self.k[w[1:]] + 1)
+        at = np.flatnonzero(new)
+        self.low, self.high, self.which = p[at], p[np.append(at[1:], len(p)) - 1], w[at]
+        self.keys, self.first, self.count = np.unique(h[at], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.keys >> U64(64 - _BITS)] = True
-        self.k = np.array([k for k, _ in self.budgets])
+        #: Of each key the items that begin with it; of each item the gram that ends it.
+        self.ends = np.array([g[-1] for g in hashes])
+        begin = np.searchsorted(self.keys, np.array([g[0] for g in hashes]))
+        order = np.argsort(begin, kind="stable")
+        self.beginners = order
+        self.begin_first = np.searchsorted(begin[order], np.arange(len(self.keys)))
+        self.begin_count = np.bincount(begin, minlength=len(self.keys))
         #: Characters of the share, or 0 where it would be too short, and its budget.
         self.share = [c if (c := math.ceil(SHARE * len(code))) >= max(MIN_CHARS, 2 * q) else 0 for code in self.codes]
         self.part = [budget(c, rate, q) if c else b for c, b in zip(self.share, self.budgets)]
         self.least = np.array([min(t, s) for (_, t), (_, s) in zip(self.budgets, self.part)])
 
-    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of every q-gram that the text shares with an item."""
-        g = grams(code, self.q)
-        at = np.flatnonzero(self.seen[g >> U64(64 - _BITS)])
-        found = np.searchsorted(self.keys, g[at])
-        found[found == len(self.keys)] = 0
-        real = self.keys[found] == g[at]
-        at, found = at[real], found[real]
-        n = self.count[found]
-        entry = np.repeat(self.first[found], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return self.which[entry], np.repeat(at, n) - self.place[entry]
-
-    def _unedited(self, code: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> dict[int, list[int]]:
-        """The diagonals on which an item stands letter for letter; these need no alignment."""
-        low = int(diagonal.min())
-        width = int(diagonal.max()) - low + 1
-        key, n = np.unique(item * width + (diagonal - low), return_counts=True)
+    def bands(self, at: np.ndarray, found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, band, places of the text in it that share a q-gram with the item on the band's diagonals), for the bands
+        with enough of them. Band b holds the diagonals from b (k + 1) on, 2 (k + 1) of them."""
+        width = length + int(self.size.max()) + 4
+        keys, counts = [], []
+        for lo in range(0, len(at), HIT_CHUNK):
+            a, f = at[lo : lo + HIT_CHUNK], found[lo : lo + HIT_CHUNK]
+            n = self.count[f]
+            entry = np.repeat(self.first[f] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            item = self.which[entry]
+            step = self.k[item] + 1
+            place = np.repeat(a, n)
+            first = (place - self.high[entry]) // step - 1
+            many = (place - self.low[entry]) // step - first + 1
+            base = item * width + first + int(self.size.max()) + 2
+            key = np.repeat(base - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            key, c = np.unique(key, return_counts=True)
+            keys.append(key)
+            counts.append(c)
+        key, c = keys[0], counts[0]
+        if len(keys) > 1:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            c = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+        some = c >= self.least[key // width]
+        key, c = key[some], c[some]
+        return key // width, key % width - int(self.size.max()) - 2, c
+
+    def unedited(self, code: np.ndarray, g: np.ndarray, at: np.ndarray, found: np.ndarray) -> dict[int, list[int]]:
+        """Of each item that stands in the text letter for letter its places, from left to right without overlaps."""
+        n = self.begin_count[found]
+        item = self.beginners[np.repeat(self.begin_first[found] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        place = np.repeat(at, n)
+        last = place + self.size[item] - self.q
+        inside = last < len(g)
+        item, place, last = item[inside], place[inside], last[inside]
+        same = g[last] == self.ends[item]
         out: dict[int, list[int]] = {}
-        size = np.array([len(c) for c in self.codes])
-        key = key[n > size[key // width] - self.q]
-        for i, d in zip((key // width).tolist(), (key % width + low).tolist()):
-            if np.array_equal(code[d : d + len(self.codes[i])], self.codes[i]):
-                out.setdefault(i, []).append(d)
+        for i, a in zip(item[same].tolist(), place[same].tolist()):
+            places = out.get(i)
+            if (not places or a >= places[-1] + len(self.codes[i])) and np.array_equal(code[a : a + len(self.codes[i])], self.codes[i]):
+                out.setdefault(i, []).append(a)
         return out
 
+    def _fine_places(self, code: np.ndarray) -> np.ndarray:
+        """The number of each shorter gram of the text among those of all items; the last number is for the others."""
+        if self._fine is None:
+            self._fine = np.unique(np.concatenate([grams(c, FINE) for c in self.codes]))
+        g = grams(code, FINE)
+        at = np.searchsorted(self._fine, g)
+        at[at == len(self._fine)] = 0
+        return np.where(self._fine[at] == g, at, len(self._fine))
+
+    def _shared(self, i: int, fine: np.ndarray, lo: int, hi: int) -> int:
+        """How many of the shorter grams lo..hi shares with item i, each counted at most as often as both have it."""
+        have = self._bags.get(i)
+        if have is None:
+            if len(self._bags) >= KNOWN_BAGS:
+                self._bags.clear()
+            have = self._bags[i] = np.bincount(self._fine_places(self.codes[i]), minlength=len(self._fine) + 1)
+            have[-1] = 0
+        return int(np.minimum(np.bincount(fine[lo:hi], minlength=len(have)), have).sum())
+
     def _aligned(self, i: int, a: int, b: int, code: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
-        """``align`` for characters a..b of item i, only where the cheaper ``near`` finds them around these diagonals."""
-        item = self.codes[i][a:b]
+        """(edits, start, end) of the best occurrence of characters a..b of item i around these diagonals."""
         if (i, a, b) not in self._masks:
-            self._masks[i, a, b] = masks(item)
-        around = code[max(0, low + a - k) : max(0, high + b + k + 1)]
-        return align(item, code, low + a, high + a, k) if near(self._masks[i, a, b], b - a, around, k) else None
+            if len(self._masks) >= KNOWN_BAGS:
+                self._masks.clear()
+            self._masks[i, a, b] = masks(self.codes[i][a:b])
+        lo = max(0, low + a - k)
+        around = code[lo : max(lo, high + b + k + 1)]
+        got = near(self._masks[i, a, b], b - a, around, k)
+        if not got:
+            return None
+        edits, end = got
+        # the end is known: the start is where the alignment of both reversed ends
+        back = around[max(0, end - (b - a) - edits) : end][::-1].tolist()
+        edits, taken = align(self.codes[i][a:b][::-1].tolist(), back, edits)
+        return edits, lo + end - taken, lo + end
 
     def _find_short(self, code: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Regions equal to a short item that begin and end at a word boundary; CJK characters are bounded anywhere."""
@@ -248,52 +318,92 @@ class Index:
                 out += [(i, int(at[a]), int(at[last]) + 1, 0) for i in self.short[item]]
         return out
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, edits) of each region of the text that an item matches."""
+    def find(self, text: str, any_one: bool = False) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, end, edits) of each region of the text that an item matches, or with ``any_one`` of some."""
         if not text or not (self.ids or self.short):
             return []
         code, at = normal(text)
         short = self._find_short(code, at) if self.short else []
-        return sorted(short + self._find_long(code, at), key=lambda r: (r[1], r[0] is None, r[0]))
+        if short and any_one:
+            return short
+        return sorted(short + self._find_long(code, at, any_one), key=lambda r: (r[1], r[0] is None, r[0]))
 
-    def _find_long(self, code: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def _find_long(self, code: np.ndarray, at: np.ndarray, any_one: bool) -> list[tuple[int, int, int, int]]:
+        """Items are found letter for letter first, then within their budgets, then in parts; regions of one item don't
+        overlap. Of a region's neighbouring bands the one with fewest edits counts."""
         if not self.ids or len(code) < self.q:
             return []
-        item, diagonal = self.hits(code)
-        if len(item) < self.least.min():
+        g = grams(code, self.q)
+        place = np.flatnonzero(self.seen[g >> U64(64 - _BITS)])
+        found = np.searchsorted(self.keys, g[place])
+        found[found == len(self.keys)] = 0
+        real = self.keys[found] == g[place]
+        place, found = place[real], found[real]
+        if len(place) < self.least.min():
             return []
-        whole = self._unedited(code, item, diagonal)
-        # two bands of 2 (k + 1) diagonals hold each diagonal
-        half = diagonal // (self.k[item] + 1)
-        low = int(half.min()) - 1
-        width = int(half.max()) - low + 1
-        key = item * width + (half - low)
-        key, n = np.unique(np.concatenate((key, key - 1)), return_counts=True)
-        some = n >= self.least[key // width]
         out: list[tuple[int, int, int, int]] = []
-        parts: list[tuple[int, int, int, int]] = []
-        seen: set[tuple[int, int, int]] = set()
-        for i, b, shared in zip((key[some] // width).tolist(), (key[some] % width + low).tolist(), n[some].tolist()):
-            (k, least), whole_item = self.budgets[i], self.codes[i]
-            first = b * (k + 1)
-            last = first + 2 * (k + 1) - 1
-            exact = [d for d in whole.get(i, ()) if first <= d <= last]
-            got = (0, exact[0], exact[0] + len(whole_item)) if exact else self._aligned(i, 0, len(whole_item), code, first, last, k) if shared >= least else None
-            found = out
-            if not got and (c := self.share[i]) and shared >= self.part[i][1]:
-                off, found, k = len(whole_item) - c, parts, self.part[i][0]
-                got = self._aligned(i, 0, c, code, first, last, k) or self._aligned(i, off, len(whole_item), code, first, last, k)
-            if got and got[2] > got[1] and (i, got[1], got[2]) not in seen:
-                seen.add((i, got[1], got[2]))
-                found.append((self.ids[i], int(at[got[1]]), int(at[got[2] - 1]) + 1, got[0]))
-        # overlapping bands can end on neighbouring alignments of one occurrence: the best one stays
-        out.sort(key=lambda r: (r[3], r[0] is None, r[0], r[1]))
-        out += sorted(parts, key=lambda r: (r[3], r[0] is None, r[0], r[1]))  # only where the whole isn't found
-        kept: list[tuple[int, int, int, int]] = []
-        for r in out:
-            if not any(r[0] == s[0] and r[1] < s[2] and s[1] < r[2] for s in kept):
-                kept.append(r)
-        return kept
+
+        def region(i: int, start: int, end: int, edits: int) -> tuple[int, int, int, int]:
+            return self.ids[i], int(at[start]), int(at[end - 1]) + 1, edits
+
+        exact = self.unedited(code, g, place, found)
+        for i, places in exact.items():
+            out += [region(i, a, a + len(self.codes[i]), 0) for a in places]
+        if out and any_one:
+            return out
+        items, bands, shared = self.bands(place, found, len(code))
+        fine = self._fine_places(code) if len(items) else place
+        edits_of: dict[tuple[int, int], int] = {}
+        edge = np.flatnonzero(np.append(True, items[1:] != items[:-1])) if len(items) else []
+        for lo, hi in zip(edge, [*edge[1:], len(items)]):
+            i = int(items[lo])
+            m, c = len(self.codes[i]), self.share[i]
+            starts = list(exact.get(i, ()))
+            ends = [a + m for a in starts]
+            tries = [(0, m, *self.budgets[i])]
+            if c:
+                tries += [(0, c, *self.part[i]), (m - c, m, *self.part[i])]
+            step, need = int(self.k[i]) + 1, min(b - a - k for a, b, k, _ in tries)
+            fewest = [b - a + 1 - (k + 1) * FINE for a, b, k, _ in tries]
+            some = []
+            for band, n in zip(bands[lo:hi].tolist(), shared[lo:hi].tolist()):
+                begin, end = max(0, band * step - step), min(len(code), (band + 2) * step + m + step)
+                if _regions(starts, ends, begin, end, need) and (both := self._shared(i, fine, begin, end)) >= min(fewest):
+                    some.append((band, n, both))
+            for (a, b, k, least), few in zip(tries if some else (), fewest):
+                last: tuple[int, int, int, int] | None = None  # band, start, end, edits of the latest region of this try
+                for band, n, both in some:
+                    if n < least or both < few:
+                        continue
+                    low = band * step
+                    high = low + 2 * step - 1
+                    again = last is not None and band <= last[0] + 2
+                    if not again and not _regions(starts, ends, max(0, low + a - k), min(len(code), high + b + k + 1), b - a - k):
+                        continue
+                    got = self._aligned(i, a, b, code, low, high, k)
+                    if not got or got[2] <= got[1]:
+                        continue
+                    edits, s, e = got
+                    if again and s < last[2] and last[1] < e:
+                        if edits >= last[3]:
+                            continue
+                        at_old = starts.index(last[1])
+                        del starts[at_old], ends[at_old]
+                    x = bisect.bisect_right(ends, s)
+                    if x < len(starts) and starts[x] < e:
+                        if again and s < last[2] and last[1] < e:  # the old region stays: the new one meets another
+                            bisect.insort(starts, last[1])
+                            bisect.insort(ends, last[2])
+                        continue
+                    starts.insert(x, s)
+                    ends.insert(x, e)
+                    last = (band, s, e, edits)
+                    edits_of[i, s] = edits
+                    if any_one:
+                        return [region(i, s, e, edits)]
+            known = set(exact.get(i, ()))
+            out += [region(i, s, e, edits_of[i, s]) for s, e in zip(starts, ends) if s not in known]
+        return out
 
 
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -370,7 +480,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in portions(batches):
-                keep = [not index.value.find(text.as_py() or "") for text in batch.column(at)]
+                keep = [not index.value.find(text.as_py() or "", True) for text in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         out = out.mapInArrow(clean, schema)
