@@ -1,12 +1,14 @@
 """Operator 8: private data by anchor expansion.
 
-One Aho-Corasick automaton finds anchors: at-signs, schemes, identifier cues and digits. At each anchor a deterministic
-local parser expands to both sides, validates what it found (domain shape, octet range, Luhn, mod 97, area numbers)
+One Aho-Corasick automaton finds anchors in the lower-cased text: at-signs, schemes, identifier cues, beginnings of keys,
+digits and colons before hexadecimal digits. At each anchor a deterministic local parser expands to both sides as far as
+the thing goes, without an upper length, validates what it found (domain shape, octet range, Luhn, mod 97, area numbers)
 and fixes its boundaries. Nothing but the neighbourhood of anchors is looked at a second time.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -17,33 +19,49 @@ from pyspark.sql import functions as F
 
 from ._shared import portions
 
-CUES = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "api-key", "apikey", "access_key", "private_key")
-KEY_PREFIXES = ("AKIA", "ASIA")
+#: Words before a secret value, in lower case; they also end longer names such as clientSecret.
+CUES = (
+    "password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "api-key", "apikey", "api key", "access_key", "access-key",
+    "accesskey", "private_key", "privatekey", "secret_key", "secretkey", "encryption_key", "client_secret", "authorization",
+)
+#: Beginnings of keys as issued, with the shape of the rest; letter case counts.
+KEYS = {
+    "AKIA": r"[A-Z0-9]{16}(?!\w)", "ASIA": r"[A-Z0-9]{16}(?!\w)", "AIza": r"[\w-]{35}(?![\w-])", "github_pat_": r"[A-Za-z0-9_]{22,}",
+    "xoxb-": r"[A-Za-z0-9-]{10,}", "xoxp-": r"[A-Za-z0-9-]{10,}", "xoxa-": r"[A-Za-z0-9-]{10,}", "eyJ": r"[\w-]{10,}\.eyJ[\w-]{8,}\.[\w-]+",
+    **{f"gh{c}_": r"[A-Za-z0-9]{36,}" for c in "pousr"}, **{f"{k}_{m}_": r"[A-Za-z0-9]{16,}" for k in ("sk", "rk") for m in ("live", "test")},
+}
+_KEYS = {k.lower(): (k, re.compile(v)) for k, v in KEYS.items()}
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY(?: BLOCK)?)-----")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)(?:[A-Za-z0-9-]{1,63}\.)*[A-Za-z]{2,24}|[A-Za-z0-9]+\.[A-Za-z]{2,24}")
-_USERINFO = re.compile(r"[^\s/@:\"'<>]{1,128}:[^\s/@\"'<>]{1,256}@")
-_VALUE = re.compile(r"""["']?\s{0,3}[:=]\s{0,3}(?:"([^"\n]{6,512})"|'([^'\n]{6,512})'|([^\s"',;]{6,512}))""")
-_KEY = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
+_USERINFO = re.compile(r"[^\s/@:\"'<>]+:[^\s/@\"'<>]+@")
+_CUE_END = re.compile(r"""[\w-]*["'\]]?[ \t]{0,3}(=>|:=|[:=])[ \t]{0,3}(?:(?:bearer|basic)[ \t]+)?""", re.IGNORECASE)
+_QUOTED = re.compile(r""""([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`""")
+_BARE = re.compile(r"""["'`]?([^\s"'`,;]+)""")
 _IPV4 = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\.?\d)(?!\w)")
+_HEXES = frozenset("0123456789abcdefABCDEF:")
+_IPV6 = re.compile(r"[0-9A-Fa-f:]+")
 _SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})(?![-\w])")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![-\w])")
-_INTERNATIONAL = re.compile(r"\+\d(?:[ .-]?\d){7,13}(?![-\w])")
-_ACCOUNT = re.compile(r"\d(?:[ -]?\d){12,18}(?![-\w])")
+_INTERNATIONAL = re.compile(r"\+\d(?:[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d){7,13}(?![-\w])")
+_DIGITS = re.compile(r"\d+(?:[ -]\d+)*")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for d in "0123456789":
-        a.add_word(d, "digit")
-    a.add_word("@", "at")
-    a.add_word("://", "scheme")
-    for k in KEY_PREFIXES:
-        a.add_word(k, "key")
+        a.add_word(d, ("digit", 1))
+    for d in "0123456789abcdef:":
+        a.add_word(f":{d}", ("colon", 2))
+    a.add_word("@", ("at", 1))
+    a.add_word("://", ("scheme", 3))
+    a.add_word("-----begin ", ("pem", 11))
+    for k in _KEYS:
+        a.add_word(k, ("key", len(k)))
     for c in CUES:
-        for form in {c, c.upper(), c.capitalize()}:
-            a.add_word(form, "cue")
+        a.add_word(c, ("cue", len(c)))
     a.make_automaton()
     return a
 
@@ -68,9 +86,20 @@ def _word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
+def lowered(text: str) -> str:
+    """The lower case of ``text``, each character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _local(c: str) -> bool:
+    """ASCII characters of a local part, and letters of alphabets (not ideographs, which need no space before it)."""
+    return c in _LOCAL or ("\x80" < c < "\u2e80" and c.isalnum())
+
+
 def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     i = at
-    while i > floor and at - i < 64 and text[i - 1] in _LOCAL:
+    while i > floor and _local(text[i - 1]):
         i -= 1
     while i < at and text[i] in ".-%+":
         i += 1
@@ -82,6 +111,27 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return i, m.end()
 
 
+def _card(text: str, p: int) -> int:
+    """Where a card number that begins at p ends, or 0: 13 to 19 digits that end with a group and pass Luhn. Where more
+    digits follow, such as an expiry date, the number must begin as cards do."""
+    m = _DIGITS.match(text, p, p + 64)
+    if not m or (m.end() < len(text) and m.end() < p + 64 and (text[m.end()].isalpha() or text[m.end()] == "_")):
+        return 0
+    groups = [(g.end(), len(g.group())) for g in re.finditer(r"\d+", m.group())]
+    total, ends = 0, []
+    for end, n in groups:
+        total += n
+        if 13 <= total <= 19:
+            ends.append((p + end, total))
+        if total > 19:
+            break
+    digits = re.sub(r"\D", "", m.group())
+    for end, n in reversed(ends):
+        if (n == len(digits) or digits[0] in "3456") and luhn(digits[:n]):
+            return end
+    return 0
+
+
 def _number(text: str, p: int, floor: int) -> tuple[str, int, int] | int:
     """(kind, start, end) of what begins at or just before the digit at p; else where to go on."""
     before = text[p - 1] if p > floor else " "
@@ -93,13 +143,14 @@ def _number(text: str, p: int, floor: int) -> tuple[str, int, int] | int:
         m = _IPV4.match(text, p)
         if m and before != "." and all(int(x) < 256 and (x == "0" or x[0] != "0") for x in m.groups()):
             return "ip", p, m.end()
-        m = _ACCOUNT.match(text, p)
-        if m and before not in "-." and luhn(re.sub(r"\D", "", m.group())):
-            return "card", p, m.end()
+        if before not in "-." and (end := _card(text, p)):
+            return "card", p, end
         m = _SSN.match(text, p)
         if m and before != "-" and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             return "ssn", p, m.end()
         start = p - 1 if before in "+(" else p
+        if start > floor and before == "(" and text[start - 1] == "+":
+            start -= 1
         m = _PHONE.match(text, start) or (_INTERNATIONAL.match(text, start) if before == "+" else None)
         if m and (start == p or start == floor or not _word(text[start - 1])) and 9 <= sum(c.isdigit() for c in m.group()) <= 15:
             return "phone", start, m.end()
@@ -109,39 +160,94 @@ def _number(text: str, p: int, floor: int) -> tuple[str, int, int] | int:
     return end
 
 
+def _ipv6(text: str, p: int, floor: int) -> tuple[int, int] | int:
+    """The IPv6 address around the colon at p, of three groups or more with a digit; else where to go on."""
+    i = p
+    while i > floor and p - i < 40 and text[i - 1] in _HEXES:
+        i -= 1
+    m = _IPV6.match(text, i)
+    end = m.end()
+    got = m.group().rstrip(":") if not m.group().endswith("::") else m.group()
+    stop = i + len(got)
+    if got.count(":") < 2 or len(got) > 39 or len(got.replace(":", "")) < 5 or not any(c.isdigit() for c in got):
+        return end
+    if (i > 0 and (_word(text[i - 1]) or text[i - 1] in ".:")) or (stop < len(text) and (_word(text[stop]))):
+        return end
+    try:
+        address = ipaddress.IPv6Address(got)
+    except ValueError:
+        return end
+    return (i, stop) if sum(bool(g) for g in got.split(":")) >= 3 and not address.is_loopback else end
+
+
+def _secret(text: str, end: int) -> tuple[int, int] | None:
+    """The value after a cue: quoted, or up to white space, quote, comma or semicolon. A bare value after a colon must have
+    six characters or a digit, so that prose stays."""
+    m = _CUE_END.match(text, end)
+    if not m:
+        return None
+    q = _QUOTED.match(text, m.end())
+    if q:
+        return q.span(q.lastindex)
+    v = _BARE.match(text, m.end())
+    if not v or (m[1] == ":" and len(v[1]) < 6 and not any(c.isdigit() for c in v[1])):
+        return None
+    return v.span(1)
+
+
+def _pem(text: str, start: int) -> tuple[int, int] | None:
+    """A private key block to its end mark, or to the text's end where that is missing."""
+    m = _PEM.match(text, start)
+    if not m:
+        return None
+    mark = f"-----END {m[1]}-----"
+    end = text.find(mark, m.end())
+    return start, len(text) if end < 0 else end + len(mark)
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the private data in a text, in order and without overlaps."""
     out: list[tuple[str, int, int]] = []
-    done = skip = 0
-    for last, kind in _anchors.iter(text):
-        if last < done or (kind == "digit" and last < skip):
+    done = skip = passed = 0
+    for last, (kind, n) in _anchors.iter(lowered(text)):
+        start = last + 1 - n
+        if start < done:
             continue
         if kind == "digit":
-            got = _number(text, last, done)
+            if start < skip:
+                continue
+            got = _number(text, start, done)
             if isinstance(got, int):
                 skip = got
                 continue
             out.append(got)
-        elif kind == "at":
-            span = _email(text, last, done)
-            if not span:
-                continue
-            out.append(("email", *span))
-        elif kind == "scheme":
-            m = _USERINFO.match(text, last + 1)
-            if not m:
+        elif kind == "colon":
+            if start < passed:
                 continue
-            out.append(("credentials", last + 1, m.end() - 1))
-        elif kind == "key":
-            m = _KEY.match(text, last + 1)
-            if not m or (last >= 4 and _word(text[last - 4])):
+            got = _ipv6(text, start, done)
+            if isinstance(got, int):
+                passed = got
                 continue
-            out.append(("key", last - 3, m.end()))
+            while out and out[-1][1] >= got[0]:  # digits of the first group, taken for something else
+                out.pop()
+            out.append(("ip", *got))
         else:
-            m = _VALUE.match(text, last + 1)
-            if not m:
+            if kind == "at":
+                span = _email(text, start, done)
+            elif kind == "scheme":
+                m = _USERINFO.match(text, last + 1)
+                kind, span = "credentials", m and (last + 1, m.end() - 1)
+            elif kind == "key":
+                begin, rest = _KEYS[text[start : last + 1].lower()]
+                m = text.startswith(begin, start) and (start == 0 or not _word(text[start - 1])) and rest.match(text, last + 1)
+                span = m and (start, m.end())
+            elif kind == "pem":
+                kind, span = "key", _pem(text, start)
+            else:
+                kind, span = "secret", _secret(text, last + 1)
+            if not span:
                 continue
-            out.append(("secret", *m.span(m.lastindex)))
+            out.append((("email" if kind == "at" else kind), *span))
         done = out[-1][2]
     return out
 
