@@ -8,7 +8,6 @@ again; a round counts only if it saves bins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import portions, written
+from ._words import U64, span_hashes, text_slices
 from .chat_format import TOKENIZER, _tokenizer
 
 CAPACITY = 2048
@@ -91,41 +91,86 @@ def _packer(capacity: int, turn: int):
 _SCHEMA = "doc_id long, piece int, size long, part long, round int, bin long, fill long, part_bins long, part_bound long"
 
 
-#: A text cut before every run of white space. The tokenizer's own pieces end there too (it joins white space to what
-#: follows it, never to what precedes it, and looks only ahead), so counts of these add up to the whole text's count.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: Pieces remembered by a task, and characters of the longest of them; others are encoded each time.
-KNOWN_PIECES, KNOWN_CHARS = 200_000, 48
+#: A text is cut before every run of white space. The tokenizer's own pieces end there too (it joins white space to what
+#: follows it, never to what precedes it, and looks only ahead), so counts of these pieces add up to the whole text's.
+#: White space as bytes of UTF-8: single bytes, and the first bytes of longer characters with what may follow them.
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), 32]] = True
+_LONG_BLANKS = {
+    b"\xc2": [b"\x85", b"\xa0"], b"\xe1\x9a": [b"\x80"], b"\xe2\x81": [b"\x9f"], b"\xe3\x80": [b"\x80"],
+    b"\xe2\x80": [bytes([c]) for c in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)],
+}
+#: Pieces whose counts a task remembers, by a 64-bit hash of their bytes.
+KNOWN_PIECES = 1_000_000
+
+
+def blanks(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space."""
+    out = _BLANK[data]
+    for head, tails in _LONG_BLANKS.items():
+        n = len(head)
+        at = np.flatnonzero(data[: -n or None] == head[0])
+        at = at[at + n < len(data)]
+        for k in range(1, n):
+            at = at[data[at + k] == head[k]]
+        at = at[np.isin(data[at + n], np.frombuffer(b"".join(tails), np.uint8))]
+        for k in range(n + 1):
+            out[at + k] = True
+    return out
 
 
-class _Counts(dict):
-    """Tokens of pieces, encoded when they are first asked for."""
+class _Counts:
+    """Tokens of pieces, encoded when they are first met."""
 
     def __init__(self, enc):
-        self.enc = enc
-
-    def __missing__(self, piece: str) -> int:
-        n = len(self.enc.encode_batch_fast([piece], add_special_tokens=False)[0])
-        if len(piece) <= KNOWN_CHARS:
-            if len(self) >= KNOWN_PIECES:
-                self.clear()
-            self[piece] = n
-        return n
+        self.enc, self.known = enc, {}
+
+    def of(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text."""
+        out = np.zeros(len(texts), np.int64)
+        for first, last, data, offsets in text_slices(texts, lower=False):
+            if not len(data):
+                continue
+            blank = blanks(data)
+            new = blank.copy()
+            new[1:] &= ~blank[:-1]
+            starts = offsets[:-1][offsets[:-1] < len(data)]
+            new[starts] = True
+            s = np.flatnonzero(new)
+            e = np.append(s[1:], len(data))
+            key = span_hashes(data.astype(U64) + U64(1), s, e)
+            distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
+            if len(self.known) + len(distinct) > KNOWN_PIECES:
+                self.known.clear()
+            hashes, get = distinct.tolist(), self.known.get
+            count = np.array([get(k, -1) for k in hashes])
+            missing = np.flatnonzero(count < 0)
+            if len(missing):
+                raw = data.tobytes()
+                pieces = [raw[i:j].decode() for i, j in zip(s[where[missing]].tolist(), e[where[missing]].tolist())]
+                count[missing] = [len(x) for x in self.enc.encode_batch_fast(pieces, add_special_tokens=False)]
+                self.known.update((hashes[i], n) for i, n in zip(missing.tolist(), count[missing].tolist()))
+            row = np.searchsorted(offsets, s, "right") - 1
+            out[first:last] = np.bincount(row, count[back], last - first)
+        return out
+
+
+_counts: dict[str, _Counts] = {}
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, tokens): tokens of the whole text by op3's tokenizer, plus one for the separator; texts without a word
-    are left out."""
+    are left out. Pieces are told apart by a 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Counts(_tokenizer(tokenizer))
+        if tokenizer not in _counts:  # kept for the tasks that follow in this process
+            _counts[tokenizer] = _Counts(_tokenizer(tokenizer))
+        counts = _counts[tokenizer]
         for batch in portions(batches):
             text = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
             some = pc.match_substring_regex(text, r"[^\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]")
             ids, text = batch.column("doc_id").filter(some), text.filter(some)
-            n = [1 + sum(map(known.__getitem__, _PIECE.findall(t))) for t in text.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64())], ["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(1 + counts.of(text), pa.int64())], ["doc_id", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens long")
 
