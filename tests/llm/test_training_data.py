@@ -677,12 +677,15 @@ def test_url_filter_edges(spark):
         ("((Made-Up-1.0))", "Made-Up-1.0", "unknown"),
         ("MIT */ int x", "MIT", "permissive"),
         ("MIT OR", "MIT", "permissive"),
+        ("MIT or whatever you like", "MIT", "permissive"),
+        ("MIT or LicenseRef-ours.", "MIT LicenseRef-ours or", "permissive"),
+        ("GPL-2.0+ or later", "GPL-2.0-or-later", "strong-copyleft"),
         ("(MIT", "", None),
         ("AND MIT", "", None),
     ],
 )
 def test_licence_expressions(expression, rpn, kind):
-    got = license_scan.postfix(license_scan.tokens(expression))
+    got = license_scan.postfix(license_scan.expression(expression)[0])
     assert " ".join(got) == rpn and (license_scan.evaluate(got) if got else None) == kind
     assert [g[:2] for g in license_scan.find(f"// SPDX-License-Identifier: {expression}\nMIT")] == ([(rpn, kind)] if rpn else [])
 
@@ -799,3 +802,50 @@ def test_private_data_planted_in_prose_is_found_and_nothing_else():
             want.append((kind, len(text), len(text) + len(value)))
             text += value + r.choice([" ", ", ", ".\n", ") ", '" '])
         assert pii.find(text) == want, text
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("GPLv3", ["GPL-3.0-only"]), ("GNU General Public License v3.0", ["GPL-3.0-only"]), ("under the LGPL 2.1+.", ["LGPL-2.1-or-later"]), ("AGPL-3.0", ["AGPL-3.0-only"]),
+        (" * the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.", ["GPL-2.0-or-later"]),
+        ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted", ["BSD-3-Clause"]),
+        ("Apache License\n                 Version 2.0, January 2004", ["Apache-2.0"]), ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", ["GPL-3.0-only"]),
+        ("Mozilla Public License, v. 2.0", ["MPL-2.0"]), ("Creative Commons Attribution-NonCommercial 4.0 International", ["CC-BY-NC-4.0"]), ("CC BY-SA 3.0", ["CC-BY-SA-3.0"]),
+        ("gpl is a family, apache 2 runs, the MPL says", []), ("SPDX-License-Identifier: MIT " * 3, ["MIT"] * 3), ("// SPDX-License-Identifier:\tGPL-2.0-only OR MIT", ["GPL-2.0-only MIT or"]),
+    ],
+)
+def test_licence_notices_however_wrapped(text, want):
+    for around in ("{}", "été, İ: {} (end)", "x\n\n  // {}\n"):
+        got = license_scan.find(around.format(text))
+        assert [g[0] for g in got] == want
+        whole = around.format(text)
+        assert all(whole[g[2]].isalnum() and (g[2] == 0 or not whole[g[2] - 1].isalnum()) for g in got)
+
+
+def test_licences_planted_in_prose_and_repeated_rows(spark):
+    """Brute force: every text is built of known parts, so the right answer is known for each."""
+    r = random.Random(6)
+    made = [("GPLv2", "GPL-2.0-only"), ("MIT License", "MIT"), ("Apache License, Version 2.0", "Apache-2.0"), ("SPDX-License-Identifier: ISC AND Zlib\n", "ISC Zlib and"), ("CC BY 4.0", "CC-BY-4.0")]
+    texts, wants = [], []
+    for _ in range(60):
+        text, want = "", []
+        for _ in range(r.randint(0, 4)):
+            text += prose(r.randint(0, 99), r.randint(1, 9)) + r.choice([" ", ", ", "\n", " ("])
+            part, name = r.choice(made)
+            want.append((name, len(text)))
+            text += part + r.choice([". ", ", ", "\n", ") "])
+        texts.append(text), wants.append(want)
+    got = {x.doc_id: [(f.expression, f.start) for f in x.found] for x in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert got == {i: w for i, w in enumerate(wants) if w}
+    same = spark.createDataFrame([(1, "MIT License"), (1, "MIT License"), (None, "MIT License")], "doc_id long, text string")
+    assert license_scan.scan(same).count() == 3
+
+
+def test_licence_scan_is_linear_in_hostile_texts():
+    import time
+
+    for text in ("SPDX-License-Identifier: MIT " * 20000, "gpl " * 100000, "\n # " * 80000, "license-expression: " * 20000, "(" * 200000):
+        began = time.time()
+        license_scan.find(text)
+        assert time.time() - began < 6
