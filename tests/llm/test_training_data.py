@@ -849,3 +849,21 @@ def test_licence_scan_is_linear_in_hostile_texts():
         began = time.time()
         license_scan.find(text)
         assert time.time() - began < 6
+
+
+def test_training_rows_do_not_depend_on_ids(spark, monkeypatch):
+    texts = languages(900)
+    none = spark.createDataFrame([(None, t, v) for t, v in texts], "doc_id long, text string, lang string")
+    same = spark.createDataFrame([(7, *texts[0])] * 3000 + [(7, *texts[1])] * 2 + [(8, None, "aa"), (9, "1 2", "bb"), (None, "abc", None)], none.schema)
+    assert Counter(r.lang for r in language_id.training_rows(none, 50).collect()) == {"aa": 50, "bb": 50, "cc": 50}
+    assert Counter(r.lang for r in language_id.training_rows(same, 50).collect()) == {"aa": 50, "bb": 2}
+    model = language_id.train(none, 50)
+    assert np.mean([r.predicted == r.lang for r in language_id.identify(none, model).collect()]) > 0.98
+    monkeypatch.setattr(language_id, "TRAIN_TOTAL", 30)
+    assert Counter(r.lang for r in language_id.training_rows(none, 50).collect()) == {"aa": 10, "bb": 10, "cc": 10}
+
+
+def test_turns_without_a_conversation_stay_apart(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "assistant", "b"), (None, None, None, None), (1, 0, "user", "c"), (1, 1, "assistant", "d")]
+    got = formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id or 0, r.n_turns) for r in got) == [(0, 1), (0, 1), (0, 1), (1, 2)]

@@ -17,10 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import portions
+from ._shared import portions, small, written
 
-#: Training rows per language, at most; the only bounded sample of this operator.
-TRAIN_ROWS = 400
+#: Training rows per language, and of all languages together, at most; the only bounded sample of this operator.
+TRAIN_ROWS, TRAIN_TOTAL = 400, 8000
 #: Features: 2^BITS hashed n-grams.
 BITS = 13
 #: A decision is ambiguous below this gap, in logistic loss per bit of codeword.
@@ -86,16 +86,26 @@ class Model:
         return (np.logaddexp(0, -self.code * margin) * self.trust).sum(1)
 
 
+def shares(text: bytes) -> np.ndarray:
+    """The share of each feature in a text."""
+    count, raw = np.zeros(_SIZE, np.int64), np.frombuffer(text, np.uint8)
+    for at in range(0, max(1, len(raw)), _STEP):
+        count += np.bincount(features(raw[at : at + _STEP]), minlength=_SIZE)
+    return (count / count.sum()).astype(np.float32)
+
+
 def fit(texts: list[str], languages: list[str], steps: int = 150) -> Model:
+    """``fit_shares`` of texts."""
+    return fit_shares([shares(t.encode("utf-8", "replace")) for t in texts], languages, steps)
+
+
+def fit_shares(rows: list[np.ndarray], languages: list[str], steps: int = 150) -> Model:
     """Ridge-regularised logistic regressions, one a bit, by full-batch gradient steps with momentum."""
     names = sorted(set(languages))
     code = codewords(len(names))
     if len(names) < 2:
         return Model(names, code, np.zeros((_SIZE, 1), np.float32), np.ones(1), np.ones(1))
-    x = np.zeros((len(texts), _SIZE), np.float32)
-    for i, t in enumerate(texts):
-        f = features(np.frombuffer(t.encode("utf-8", "replace"), np.uint8))
-        x[i] = np.bincount(f, minlength=_SIZE) / len(f)
+    x = np.stack(rows)
     scale = np.sqrt((x**2).mean(0) + 1e-7)
     x /= scale
     total = np.sqrt((x**2).sum(1).mean())
@@ -103,11 +113,11 @@ def fit(texts: list[str], languages: list[str], steps: int = 150) -> Model:
     which = np.array([names.index(v) for v in languages])
     y = code[which].astype(np.float32)
     # every language weighs the same, however many rows it has
-    row = (len(texts) / (len(names) * np.bincount(which)))[which].astype(np.float32)[:, None]
+    row = (len(rows) / (len(names) * np.bincount(which)))[which].astype(np.float32)[:, None]
     w, vw = np.zeros((2, _SIZE, y.shape[1]), np.float32)
     b, vb = np.zeros((2, 1, y.shape[1]), np.float32)
     for _ in range(steps):
-        g = -y * row / (1 + np.exp(y * (x @ w + b))) / len(texts)
+        g = -y * row / (1 + np.exp(y * (x @ w + b))) / len(rows)
         vw = 0.9 * vw - 2.0 * (x.T @ g + 1e-5 * w)
         vb = 0.9 * vb - 2.0 * g.sum(0)
         w, b = w + vw, b + vb
@@ -116,20 +126,44 @@ def fit(texts: list[str], languages: list[str], steps: int = 150) -> Model:
 
 
 def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, lang): at most ``rows`` labelled rows a language, those of least hash; needs no shuffle of other texts."""
-    labelled = docs.select("doc_id", "lang", "text").filter("lang is not null and text rlike '\\\\p{L}'")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    h = F.xxhash64("doc_id", "lang")
-    share = F.pmod(h, F.lit(1 << 30)) / (1 << 30)
-    some = labelled.join(F.broadcast(counts), "lang").filter(share * F.col("n") < 2 * rows)
-    order = Window.partitionBy("lang").orderBy(h, "text")
+    """(text, lang): at most ``rows`` labelled rows a language, those of least hash; needs no shuffle of other texts.
+
+    The hash covers the text, so that null and repeated ids are sampled like others; of every language with a labelled
+    row at least the row of least hash is there, however often it repeats.
+    """
+    h = F.xxhash64("text", "lang", "doc_id")
+    labelled = docs.select("text", "lang", h.alias("_h")).filter("lang is not null and text rlike '\\\\p{L}'")
+    counts = written(labelled.groupBy("lang").agg(F.count("*").alias("_n"), F.min("_h").alias("_least")), "languages")
+    languages = max(1, counts.count())
+    rows = max(1, min(rows, TRAIN_TOTAL // languages))
+    share = F.pmod("_h", F.lit(1 << 30)) / (1 << 30)
+    some = labelled.join(small(counts, 96), "lang").filter((share * F.col("_n") < 2 * rows) | (F.col("_h") == F.col("_least")))
+    order = Window.partitionBy("lang").orderBy("_h", "text")
     return some.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= rows).select("text", "lang")
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in portions(batches):
+        rows = [shares(t.as_buffer()) for t in pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")]
+        at = [np.flatnonzero(x) for x in rows]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lang"), pa.array([i.astype(np.uint16).tobytes() for i in at], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(rows, at)], pa.binary())],
+            ["lang", "place", "share"],
+        )
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on the labelled rows of ``docs``; without any, the model knows no language and every text is undetermined."""
-    some = sorted((r.lang, r.text) for r in training_rows(docs, rows).toLocalIterator())
-    return fit([t for _, t in some], [v for v, _ in some])
+    """Fits on the labelled rows of ``docs``; without any, the model knows no language and every text is undetermined.
+
+    Texts stay where they are: the driver gets their features, whose size is bounded.
+    """
+    some = training_rows(docs, rows).mapInArrow(_shares, "lang string, place binary, share binary")
+    x, languages = [], []
+    for r in sorted(some.toLocalIterator(), key=lambda r: (r.lang, bytes(r.place), bytes(r.share))):
+        x.append(np.zeros(_SIZE, np.float32))
+        x[-1][np.frombuffer(r.place, np.uint16)] = np.frombuffer(r.share, np.float32)
+        languages.append(r.lang)
+    return fit_shares(x, languages)
 
 
 def _verdicts(texts: pa.Array, model: Model) -> tuple[list, list, list]:
