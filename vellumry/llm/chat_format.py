@@ -72,9 +72,10 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER, template: Te
     """(conv_id, n_turns, n_tokens, n_trained, input_ids, loss_mask): one row a conversation.
 
     Turns are ordered by ``turn`` (null last), ties by role and text. A turn whose role is null has the role "unknown",
-    one whose text is null an empty text; turns without a conv_id form the conversation null. Equal rows are separate turns. A token that
-    covers the edge of a trained turn is trained. Other columns are not read. Only the conversations' own rows are
-    shuffled, once; whole conversations are encoded, however long.
+    one whose text is null an empty text; a turn without a conv_id is a conversation of its own, whose conv_id is null.
+    Equal rows are separate turns. A token that covers the edge of a trained turn is trained. Other columns are not
+    read. Only the conversations' own rows are shuffled, once; whole conversations are encoded, however long: a
+    conversation, being one row of the result, must fit in memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +101,12 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER, template: Te
         F.col("turn").isNull().alias("none"), F.col("turn").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
     whole = (
-        conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+        turns.filter("conv_id is not null")
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list("t")).alias("turns"))
+        .unionByName(turns.filter("conv_id is null").select("conv_id", F.array("t").alias("turns")))
         .select("conv_id", F.size("turns").alias("n_turns"), F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
     )
     return whole.mapInArrow(run, "conv_id long, n_turns int, n_tokens int, n_trained int, input_ids array<int>, loss_mask array<tinyint>")
