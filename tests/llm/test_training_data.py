@@ -614,7 +614,12 @@ def test_media_column(spark):
 def test_hosts_and_suffixes(spark):
     rows = [("https://u:p@WWW.A.example.co.uk:80/x", "www.a.example.co.uk", "example.co.uk", "co.uk"), ("http://b.example.com?q", "b.example.com", "example.com", "com"), ("http://1.2.3.4/", "1.2.3.4", "1.2.3.4", "1.2.3.4"), ("http://localhost", "localhost", "localhost", "localhost"), ("ftp://com./", "com", "com", "com")]
     df = spark.createDataFrame([(u,) for u, *_ in rows], "url string").withColumn("h", url_reputation.host(F.col("url")))
-    got = df.select("h", url_reputation.domain(F.col("h")), url_reputation.suffix(F.col("h"))).collect()
+    rows += [
+        ("http://a.b.example.com.sg/", "a.b.example.com.sg", "example.com.sg", "com.sg"), ("https://me.github.io/x", "me.github.io", "me.github.io", "github.io"), ("http://x.y.z.ck/", "x.y.z.ck", "y.z.ck", "z.ck"),
+        ("http://a.www.ck", "a.www.ck", "www.ck", "ck"), ("http://[2001:DB8::1]:80/x", "[2001:db8::1]", "[2001:db8::1]", "[2001:db8::1]"), ("http://co.uk/", "co.uk", "co.uk", "co.uk"), ("no url", None, None, None), (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(u,) for u, *_ in rows], "url string").withColumn("h", url_reputation.host(F.col("url")))
+    got = [(h, *(url_reputation.levels(h) if h else (None, None))) for (h,) in df.select("h").collect()]
     assert [tuple(g) for g in got] == [tuple(r[1:]) for r in rows]
 
 

@@ -1,43 +1,79 @@
-"""Operator 5: host reputation by empirical Bayes, in column expressions only.
+"""Operator 5: host reputation by empirical Bayes.
 
 Each page outcome is bad (1) or good (0). Counts are summed for hosts, registered domains and public suffixes, and each
 level's rate is shrunk towards its parent's: a beta prior has the parent's posterior mean, and a strength fitted to
 how much the level's rates differ from their parents' by the method of moments. A host is filtered only if the lower
-bound of its posterior exceeds a threshold, so that hosts without evidence stay.
+bound of its posterior (of the normal approximation to the beta) exceeds a threshold, so that hosts without evidence
+stay. Suffixes follow the Public Suffix List.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import small, written
+
 #: Posterior mean less Z standard deviations must exceed BAD for a host's pages to go.
 Z, BAD = 1.645, 0.2
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
-#: Public suffixes of two labels; all others are taken to have one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.za", "com.tr")
+_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)"
 
 
 def host(url: Column) -> Column:
-    """Lower-case host of a URL without user, port and trailing dot; null if it has none."""
-    h = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    """Lower-case host of a URL without user, port and trailing dot, an IPv6 address in its brackets; null if it has none."""
+    h = F.regexp_extract(F.lower(url), _HOST, 1)
     return F.nullif(F.regexp_replace(h, r"\.+$", ""), F.lit(""))
 
 
-def suffix(h: Column) -> Column:
-    """Public suffix; an IPv4 address and a name without a dot are their own."""
-    parts = F.split(h, r"\.")
-    two = F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2), ".")
-    whole = h.rlike(r"^[0-9.]+$") | ~h.contains(".")
-    return F.when(whole, h).when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.element_at(parts, -1))
+def suffix_rules() -> list[str]:
+    """The Public Suffix List's rules of two labels or more."""
+    with open(os.path.join(os.path.dirname(__file__), "public_suffixes.txt"), encoding="utf-8") as f:
+        return [line.strip() for line in f if not line.startswith("#")]
+
+
+@cache
+def _rules() -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    rules = suffix_rules()
+    return (
+        frozenset(r for r in rules if r[0] not in "*!"), frozenset(r[2:] for r in rules if r.startswith("*.")), frozenset(r[1:] for r in rules if r[0] == "!")
+    )
+
+
+def levels(name: str) -> tuple[str, str]:
+    """(registered domain, public suffix) of a host. An address, a name without a dot and a suffix are all three."""
+    if "." not in name or name[0] == "[" or name.replace(".", "").isdigit():
+        return name, name
+    plain, wild, exception = _rules()
+    parts = name.split(".")
+    n = len(parts)
+    labels = 1
+    for k in range(1, n + 1):
+        end = ".".join(parts[n - k :])
+        if end in exception:
+            labels = k - 1
+            break
+        if end in plain:
+            labels = max(labels, k)
+        if end in wild and k < n:
+            labels = max(labels, k + 1)
+    return ".".join(parts[max(0, n - labels - 1) :]), ".".join(parts[n - labels :])
+
 
+def with_levels(hosts: DataFrame) -> DataFrame:
+    """``hosts`` (host, n, y) with their domain and suffix."""
 
-def domain(h: Column) -> Column:
-    """The label before the public suffix, with it; the host itself where there is none."""
-    labels = F.size(F.split(suffix(h), r"\."))
-    parts = F.split(h, r"\.")
-    n = F.least(F.size(parts), labels + 1)
-    return F.when(h.rlike(r"^[0-9.]+$"), h).otherwise(F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [levels(h) for h in batch.column("host").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d for d, _ in got], pa.string()), pa.array([s for _, s in got], pa.string())], [*batch.schema.names, "domain", "suffix"])
+
+    return hosts.select("host", "n", "y").mapInArrow(run, "host string, n long, y long, domain string, suffix string")
 
 
 def strength(level: DataFrame) -> DataFrame:
@@ -76,8 +112,9 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     )
     hosts = pages.select("page_id", host(F.col("url")).alias("host")).filter("host is not null")
     hosts = hosts.join(outcome, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y"))
-    hosts = hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    # hosts and domains are read by several levels: each is computed once
+    hosts = written(with_levels(hosts), "hosts")
+    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     whole = suffixes.agg(F.coalesce(F.try_divide(F.sum("y"), F.sum("n")), F.lit(0.0)).alias("m"))
     by_suffix = _shrunk(suffixes.crossJoin(F.broadcast(whole))).select("suffix", F.col("mean").alias("m"))
@@ -97,10 +134,10 @@ def filtered(pages: DataFrame, labels: DataFrame) -> DataFrame:
     Pages whose URL is null or has no host have null reputation and keep = true; equal rows are each returned. Other
     columns (such as the page itself) are not read.
     """
-    known = reputation(pages, labels).select("host", "mean", "lower", "blocked")
+    known = written(reputation(pages, labels).select("host", "mean", "lower", "blocked"), "known")
     return (
         pages.select("page_id", "url", host(F.col("url")).alias("host"))
-        .join(known, "host", "left")
+        .join(small(known, 200), "host", "left")
         .select("page_id", "url", "host", "mean", "lower", (~F.coalesce("blocked", F.lit(False))).alias("keep"))
     )
 
@@ -110,9 +147,6 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-_SUFFIX_SQL = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
-
-
 def _shrink_sql(name: str, source: str) -> str:
     return f"""
 {name}_s AS (SELECT greatest({MIN_STRENGTH}, least({MAX_STRENGTH}, coalesce(CASE WHEN sum((y - n * m) * (y - n * m) - n * m * (1 - m)) > 0
@@ -124,12 +158,16 @@ def _shrink_sql(name: str, source: str) -> str:
 ORACLE = f"""
 WITH outcome AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-located AS (SELECT page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\\.+$', ''), '') AS host FROM pages),
+located AS (SELECT page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '{_HOST}', 1), '\\.+$', ''), '') AS host FROM pages),
 h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS y FROM located LEFT JOIN outcome USING (page_id) WHERE host IS NOT NULL GROUP BY 1),
-h1 AS (SELECT *, string_split(host, '.') AS p, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM h0),
-h2 AS (SELECT *, CASE WHEN regexp_matches(host, '^[0-9.]+$') OR NOT contains(host, '.') THEN host WHEN two IN ({_SUFFIX_SQL}) THEN two ELSE p[-1] END AS suffix FROM h1),
-h3 AS (SELECT host, n, y, suffix, CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host
-  ELSE array_to_string(p[greatest(1, len(p) - len(string_split(suffix, '.'))):], '.') END AS domain FROM h2),
+rules AS (SELECT CASE WHEN r LIKE '!%' THEN r[2:] WHEN r LIKE '*.%' THEN r[3:] ELSE r END AS rule, CASE WHEN r LIKE '!%' THEN 'e' WHEN r LIKE '*.%' THEN 'w' ELSE 'p' END AS kind
+  FROM (SELECT unnest(string_split('{" ".join(suffix_rules())}', ' ')) AS r)),
+h1 AS (SELECT *, string_split(host, '.') AS p FROM h0),
+ends AS (SELECT host, len(p) AS size, k, array_to_string(p[len(p) - k + 1:], '.') AS rule FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM h1)),
+found AS (SELECT host, max(k - 1) FILTER (WHERE kind = 'e') AS but, max(CASE WHEN kind = 'p' THEN k WHEN kind = 'w' AND k < size THEN k + 1 END) AS labels FROM ends JOIN rules USING (rule) GROUP BY 1),
+h2 AS (SELECT h1.*, regexp_matches(host, '^[0-9.]+$') OR host LIKE '[%' OR NOT contains(host, '.') AS whole, coalesce(but, labels, 1) AS k FROM h1 LEFT JOIN found USING (host)),
+h3 AS (SELECT host, n, y, CASE WHEN whole THEN host ELSE array_to_string(p[len(p) - k + 1:], '.') END AS suffix,
+  CASE WHEN whole THEN host ELSE array_to_string(p[greatest(1, len(p) - k):], '.') END AS domain FROM h2),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(y) AS y FROM h3 GROUP BY 1, 2),
 s0 AS (SELECT suffix, sum(n) AS n, sum(y) AS y FROM d0 GROUP BY 1),
 s1 AS (SELECT s0.*, g.m FROM s0, (SELECT coalesce(sum(y) / nullif(sum(n), 0), 0.0) AS m FROM s0) g),
