@@ -30,6 +30,8 @@ FINE = 3
 KNOWN_BAGS = 2000
 #: Matched places of a text that are counted together, which bounds memory.
 HIT_CHUNK = 1 << 16
+#: Bands of all items that are counted in one array; beyond, their numbers are sorted.
+DENSE_KEYS = 1 << 20
 #: Share of an item, from its beginning or up to its end, that is a match where the whole is not found.
 SHARE = 0.75
 #: Shorter items (in the normal form) are looked for without edits, on word boundaries.
@@ -177,7 +179,7 @@ class Index:
         self.short: dict[str, list[int]] = {}
         self._automaton = None
         self._fine: np.ndarray | None = None
-        self._bags: dict[int, np.ndarray] = {}
+        self._bags: dict[tuple[int, int, int], np.ndarray] = {}
         self._masks: dict[tuple[int, int, int], dict[int, int]] = {}
         hashes, place, which = [], [], []
         for item_id, text in items:
@@ -197,6 +199,7 @@ class Index:
             return
         self.k = np.array([k for k, _ in self.budgets])
         self.size = np.array([len(c) for c in self.codes])
+        self.step = int(self.k.min()) + 1
         h, p, w = np.concatenate(hashes), np.concatenate(place), np.concatenate(which)
         order = np.lexsort((p, w, h))
         h, p, w = h[order], p[order], w[order]
@@ -222,7 +225,9 @@ class Index:
     def bands(self, at: np.ndarray, found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, band, places of the text in it that share a q-gram with the item on the band's diagonals), for the bands
         with enough of them. Band b holds the diagonals from b (k + 1) on, 2 (k + 1) of them."""
-        width = length + int(self.size.max()) + 4
+        shift = int(self.size.max()) // self.step + 2
+        width = length // self.step + shift + 3
+        few = len(self.ids) * width <= DENSE_KEYS
         keys, counts = [], []
         for lo in range(0, len(at), HIT_CHUNK):
             a, f = at[lo : lo + HIT_CHUNK], found[lo : lo + HIT_CHUNK]
@@ -233,21 +238,30 @@ class Index:
             place = np.repeat(a, n)
             first = (place - self.high[entry]) // step - 1
             many = (place - self.low[entry]) // step - first + 1
-            base = item * width + first + int(self.size.max()) + 2
+            base = item * width + first + shift
             key = np.repeat(base - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            if few:
+                c = np.bincount(key, minlength=len(self.ids) * width)
+                counts = [counts[0] + c] if counts else [c]
+                continue
             key, c = np.unique(key, return_counts=True)
             keys.append(key)
             counts.append(c)
+        if few:
+            key = np.flatnonzero((counts[0].reshape(len(self.ids), width) >= self.least[:, None]).ravel())
+            return key // width, key % width - shift, counts[0][key]
         key, c = keys[0], counts[0]
         if len(keys) > 1:
             key, back = np.unique(np.concatenate(keys), return_inverse=True)
             c = np.bincount(back, np.concatenate(counts)).astype(np.int64)
         some = c >= self.least[key // width]
         key, c = key[some], c[some]
-        return key // width, key % width - int(self.size.max()) - 2, c
+        return key // width, key % width - shift, c
 
     def unedited(self, code: np.ndarray, g: np.ndarray, at: np.ndarray, found: np.ndarray) -> dict[int, list[int]]:
         """Of each item that stands in the text letter for letter its places, from left to right without overlaps."""
+        some = np.flatnonzero(self.begin_count[found])
+        at, found = at[some], found[some]
         n = self.begin_count[found]
         item = self.beginners[np.repeat(self.begin_first[found] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
         place = np.repeat(at, n)
@@ -271,13 +285,14 @@ class Index:
         at[at == len(self._fine)] = 0
         return np.where(self._fine[at] == g, at, len(self._fine))
 
-    def _shared(self, i: int, fine: np.ndarray, lo: int, hi: int) -> int:
-        """How many of the shorter grams lo..hi shares with item i, each counted at most as often as both have it."""
-        have = self._bags.get(i)
+    def _shared(self, i: int, a: int, b: int, fine: np.ndarray, lo: int, hi: int) -> int:
+        """How many of the shorter grams lo..hi shares with characters a..b of item i, each counted at most as often as
+        both have it."""
+        have = self._bags.get((i, a, b))
         if have is None:
             if len(self._bags) >= KNOWN_BAGS:
                 self._bags.clear()
-            have = self._bags[i] = np.bincount(self._fine_places(self.codes[i]), minlength=len(self._fine) + 1)
+            have = self._bags[i, a, b] = np.bincount(self._fine_places(self.codes[i][a:b]), minlength=len(self._fine) + 1)
             have[-1] = 0
         return int(np.minimum(np.bincount(fine[lo:hi], minlength=len(have)), have).sum())
 
@@ -368,7 +383,7 @@ class Index:
             some = []
             for band, n in zip(bands[lo:hi].tolist(), shared[lo:hi].tolist()):
                 begin, end = max(0, band * step - step), min(len(code), (band + 2) * step + m + step)
-                if _regions(starts, ends, begin, end, need) and (both := self._shared(i, fine, begin, end)) >= min(fewest):
+                if _regions(starts, ends, begin, end, need) and (both := self._shared(i, 0, m, fine, begin, end)) >= min(fewest):
                     some.append((band, n, both))
             for (a, b, k, least), few in zip(tries if some else (), fewest):
                 last: tuple[int, int, int, int] | None = None  # band, start, end, edits of the latest region of this try
@@ -380,6 +395,8 @@ class Index:
                     again = last is not None and band <= last[0] + 2
                     if not again and not _regions(starts, ends, max(0, low + a - k), min(len(code), high + b + k + 1), b - a - k):
                         continue
+                    if b - a < m and self._shared(i, a, b, fine, max(0, low + a - k), high + b + k + 1) < few:
+                        continue
                     got = self._aligned(i, a, b, code, low, high, k)
                     if not got or got[2] <= got[1]:
                         continue
