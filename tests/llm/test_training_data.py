@@ -872,3 +872,56 @@ def test_turns_without_a_conversation_stay_apart(spark):
     rows = [(None, 0, "user", "a"), (None, 0, "assistant", "b"), (None, None, None, None), (1, 0, "user", "c"), (1, 1, "assistant", "d")]
     got = formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.conv_id or 0, r.n_turns) for r in got) == [(0, 1), (0, 1), (0, 1), (1, 2)]
+
+
+def test_webp_files_of_another_encoder():
+    """Files that a browser's canvas wrote (quality 1 is lossless there), against the pixels that it was given."""
+    import json
+    import os
+
+    def noise(i, j):
+        v = (i * 7919 + j * 104729 + i * j * 31) % 65521
+        v = v * v % 65521
+        return v & 255, v >> 4 & 255, v >> 8 & 255
+
+    colours = [(255, 0, 0), (0, 255, 0), (0, 0, 255), (9, 9, 9), (200, 100, 50)]
+    drawn = {
+        "gradient": (61, 47, lambda i, j: (i * 4 & 255, j * 5 & 255, i + j & 255)), "noise": (33, 29, noise), "palette": (50, 40, lambda i, j: colours[((i >> 3) + (j >> 2)) % 5]),
+        "two": (37, 23, lambda i, j: (255,) * 3 if (i ^ j) & 4 else (0, 0, 0)), "tiles": (64, 64, lambda i, j: (i % 8 * 31 & 255, j % 8 * 29 & 255, (i % 8) * (j % 8) * 5 & 255)),
+        "smooth": (120, 90, lambda i, j: (math.floor(127 + 100 * math.sin(i / 9)), math.floor(127 + 100 * math.cos(j / 11)), i * j // 60 & 255)),
+    }
+    with open(os.path.join(os.path.dirname(__file__), "webp_images.json")) as f:
+        files = json.load(f)
+    assert set(files) == set(drawn)
+    for name, (w, h, at) in drawn.items():
+        width, height, pixels = webp.decode(base64.b64decode(files[name]))
+        assert (width, height) == (w, h)
+        assert list(pixels) == [255 << 24 | r << 16 | g << 8 | b for j in range(h) for i in range(w) for r, g, b in [at(i, j)]]
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_webp_arrays_equal_pixel_by_pixel(seed, monkeypatch):
+    r = random.Random(seed)
+    w, h = r.choice([(1, 9), (40, 1), (23, 17), (64, 50)])
+    px = [r.getrandbits(32) if seed % 3 else r.choice([0xFF112233, 0x80FF00AA, 0x00345678]) for _ in range(w * h)]
+    kinds = (3, 0) if seed % 3 == 0 and seed % 2 else tuple(t for t in (0, 1, 2) if r.random() < 0.7)
+    f = webp.encode(w, h, px, kinds, 0, seed % 2 > 0, seed % 14, r.getrandbits(24))
+    monkeypatch.setattr(webp, "ARRAY_PIXELS", 0)
+    got = webp.decode(f)
+    assert got[:2] == (w, h) and got[2].tolist() == px
+
+
+def test_webp_of_very_many_pixels():
+    def plain(width, height):
+        w = webp._Writer()
+        w.put(0x2F, 8), w.put(width - 1, 14), w.put(height - 1, 14), w.put(0, 7)
+        for v in (7, 6, 5, 255, 0):  # five codes of one symbol each: the image takes no bits
+            w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(v, 8)
+        body = w.value.to_bytes((w.count + 7) // 8, "little")
+        body += b"\0" * (len(body) & 1)
+        return b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
+
+    width, height, pixels = webp.decode(plain(8192, 8200))
+    assert (width, height, len(pixels)) == (8192, 8200, 8192 * 8200) and set(np.unique(pixels)) == {0xFF060705}
+    with pytest.raises(webp.Damaged, match="row can hold"):
+        webp.decode(plain(16384, 16384))

@@ -20,7 +20,8 @@ def decoded(images: DataFrame, key: str = "image_id", column: str = "image") ->
     """(key, width, height, pixels, error): pixels is an array of ARGB values in row order, as unsigned longs.
 
     An image that is null gives nulls throughout; bytes that are no whole lossless WebP (empty, cut off, lossy, another
-    format) give nulls and the reason in ``error``. Rows are independent: repeated rows and keys are each returned, a
+    format) give nulls and the reason in ``error``, as do images of more than ``webp.MAX_PIXELS`` pixels, which no row of
+    longs can hold. Rows are independent: repeated rows and keys are each returned, a
     null key is carried. Other columns are not read. One pass without a shuffle.
     """
 

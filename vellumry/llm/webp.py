@@ -6,8 +6,11 @@ Pixels are 32-bit ARGB integers in row order.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import Counter
 
+import numpy as np
+
 #: (x, y) offsets that the 120 short distance codes stand for, nearest first.
 _PLANE = [(0, 1), (1, 0)]
 for _line in (
@@ -20,8 +23,10 @@ for _line in (
     _PLANE += [tuple(map(int, p.split(","))) for p in _line.split()]
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
-#: Pixels that an image may have; a damaged header could claim 2^28.
-MAX_PIXELS = 1 << 26
+#: Pixels that an image may have: as many as a row of longs can hold, 16 fewer than the format's most.
+MAX_PIXELS = (1 << 28) - 16
+#: Images with fewer pixels are transformed pixel by pixel, which is faster for them than arrays are.
+ARRAY_PIXELS = 2048
 
 
 class Damaged(ValueError):
@@ -137,7 +142,7 @@ def _blocks(n: int, size_bits: int) -> int:
     return (n + (1 << size_bits) - 1) >> size_bits
 
 
-def _image(bits: Bits, width: int, height: int, top: bool) -> list[int]:
+def _image(bits: Bits, width: int, height: int, top: bool) -> array:
     """An entropy-coded image; only the outermost one may have several code groups."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -152,7 +157,9 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> list[int]:
     codes = [[_prefix_code(bits, n) for n in sizes] for _ in range(count)]
     green, red, blue, alpha, distance = codes[0]
     wide = _blocks(width, group_bits) if groups else 0
-    out: list[int] = []
+    if count == 1 and not (green[0] or red[0] or blue[0] or alpha[0]) and green[1][0] < 256:  # one colour, in no bits
+        return array("I", [alpha[1][0] << 24 | red[1][0] << 16 | green[1][0] << 8 | blue[1][0]]) * (width * height)
+    out = array("I")
     total, cached, shift = width * height, 0, 32 - cache_bits
     symbol = bits.symbol
     while len(out) < total:
@@ -265,22 +272,24 @@ def _chunk(data: bytes) -> bytes:
     raise Damaged("no lossless image")
 
 
-def decode(data: bytes) -> tuple[int, int, list[int]]:
-    """(width, height, pixels)."""
+def decode(data: bytes) -> tuple[int, int, list[int] | np.ndarray]:
+    """(width, height, pixels); the pixels of larger images are an array."""
     try:
         return _decode(data)
     except (IndexError, OverflowError) as e:
         raise Damaged(str(e)) from e
 
 
-def _decode(data: bytes) -> tuple[int, int, list[int]]:
+def _decode(data: bytes) -> tuple[int, int, list[int] | np.ndarray]:
     bits = Bits(_chunk(data))
     if bits.read(8) != 0x2F:
         raise Damaged("no lossless signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
     has_alpha = bits.read(1)
-    if bits.read(3) or width * height > MAX_PIXELS:
-        raise Damaged("unknown version or too many pixels")
+    if bits.read(3):
+        raise Damaged("unknown version")
+    if width * height > MAX_PIXELS:
+        raise Damaged("more pixels than a row can hold")
     transforms, seen, inner = [], set(), width
     while bits.read(1):
         kind = bits.read(2)
@@ -300,10 +309,13 @@ def _decode(data: bytes) -> tuple[int, int, list[int]]:
             transforms.append((kind, inner, pack, table))
             inner = _blocks(inner, pack)
         else:
-            transforms.append((kind, inner, 0, []))
+            transforms.append((kind, inner, 0, array("I")))
     image = _image(bits, inner, height, True)
     if bits.at - (bits.count >> 3) > len(bits.data) + 8:
         raise Damaged("bits end early")
+    if width * height >= ARRAY_PIXELS:
+        return width, height, _inverted(np.frombuffer(image, np.uint32), transforms, height, has_alpha)
+    image = image.tolist()
     for kind, w, n, extra in reversed(transforms):
         if kind == PREDICTOR:
             wide = _blocks(w, n)
@@ -316,7 +328,7 @@ def _decode(data: bytes) -> tuple[int, int, list[int]]:
         elif kind == SUBTRACT_GREEN:
             image = [_add(p, (p >> 8 & 255) * 0x10001) for p in image]
         else:
-            table = extra + [0] * (256 - len(extra))
+            table = extra.tolist() + [0] * (256 - len(extra))
             if not n:
                 image = [table[p >> 8 & 255] for p in image]
                 continue
@@ -327,6 +339,103 @@ def _decode(data: bytes) -> tuple[int, int, list[int]]:
     return width, height, image
 
 
+def _tiled(extra: array, w: int, height: int, n: int) -> np.ndarray:
+    """A value a block as a value a pixel."""
+    wide = _blocks(w, n)
+    tiles = np.frombuffer(extra, np.uint32).reshape(-1, wide)
+    return np.repeat(np.repeat(tiles, 1 << n, 0)[:height], 1 << n, 1)[:, :w]
+
+
+def _inverted(image: np.ndarray, transforms: list[tuple], height: int, has_alpha: int) -> np.ndarray:
+    """The transforms undone on whole arrays."""
+    u = np.uint32
+    for kind, w, n, extra in reversed(transforms):
+        if kind == PREDICTOR:
+            image = _unpredicted(image.reshape(height, w), _tiled(extra, w, height, n) >> u(8) & u(15)).ravel()
+        elif kind == CROSS_COLOUR:
+            tiles = _tiled(extra, w, height, n).ravel()
+
+            def signed(v: np.ndarray) -> np.ndarray:
+                return (v & u(255)).astype(np.uint8).view(np.int8).astype(np.int32)
+
+            green = signed(image >> u(8))
+            red = (image >> u(16) & u(255)).astype(np.int32) + (signed(tiles) * green >> 5) & 255
+            blue = (image & u(255)).astype(np.int32) + (signed(tiles >> u(8)) * green >> 5) + (signed(tiles >> u(16)) * signed(red.astype(u)) >> 5) & 255
+            image = image & u(0xFF00FF00) | red.astype(u) << u(16) | blue.astype(u)
+        elif kind == SUBTRACT_GREEN:
+            green = image >> u(8) & u(255)
+            image = image & u(0xFF00FF00) | (image & u(0xFF00FF)) + (green << u(16) | green) & u(0xFF00FF)
+        else:
+            table = np.zeros(256, u)
+            table[: len(extra)] = extra
+            index = image >> u(8) & u(255)
+            if n:
+                per = 8 >> n
+                index = index.reshape(height, -1, 1) >> np.arange(0, 8, per, dtype=u) & u((1 << per) - 1)
+                index = index.reshape(height, -1)[:, :w].ravel()
+            image = table[index]
+    return image if has_alpha else image | u(0xFF000000)
+
+
+def _unpredicted(image: np.ndarray, modes: np.ndarray) -> np.ndarray:
+    """The predictor transform undone along slanted lines: a pixel needs only those of x + 2 y one to three less, so all
+    pixels of one such sum are predicted together, mode by mode."""
+    height, w = image.shape
+    out = np.zeros((height + 1, w + 2), np.uint32)  # a row above; a column on either side
+    a = np.arange(height)
+    left_add = np.uint32(0xFF00FF00), np.uint32(0x00FF00FF)
+
+    def add(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x & left_add[0]) + (y & left_add[0]) & left_add[0] | (x & left_add[1]) + (y & left_add[1]) & left_add[1]
+
+    def mean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x & y) + (((x ^ y) & np.uint32(0xFEFEFEFE)) >> np.uint32(1))
+
+    def split(x: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).astype(np.int32)
+
+    def joined(x: np.ndarray) -> np.ndarray:
+        return np.clip(x, 0, 255).astype(np.uint8).view(np.uint32).ravel()
+
+    def predicted(mode: int, left: np.ndarray, above: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
+        if mode == 0 or mode > 13:
+            return np.full(len(left), 0xFF000000, np.uint32)
+        if mode < 5:
+            return (left, above, right, corner)[mode - 1]
+        if mode == 5:
+            return mean(mean(left, right), above)
+        if mode < 10:
+            return mean(*((left, corner), (left, above), (corner, above), (above, right))[mode - 6])
+        if mode == 10:
+            return mean(mean(left, corner), mean(above, right))
+        c = split(corner)
+        if mode == 11:
+            p, q = split(left), split(above)
+            return np.where(np.abs(q - c).sum(1) < np.abs(p - c).sum(1), left, above)
+        if mode == 12:
+            return joined(split(left) + split(above) - c)
+        m = split(mean(left, above))
+        return joined(m + np.trunc((m - c) / 2).astype(np.int32))
+
+    for t in range(w + 2 * height - 2):
+        y = a[max(0, (t - w + 2) // 2) : min(height, t // 2 + 1)]
+        x = t - 2 * y
+        left, above, right, corner = out[y + 1, x], out[y, x + 1], out[y, x + 2], out[y, x]
+        # the pixel to the right of a row's last one is the first of the row below, which is there already
+        edge = x == w - 1
+        if edge.any():
+            right = np.where(edge, out[y + 1, np.ones_like(y)], right)
+        mode = np.where(y == 0, 1, np.where(x == 0, 2, modes[y, x]))
+        value = np.empty(len(y), np.uint32)
+        for k in np.unique(mode).tolist():
+            some = mode == k
+            value[some] = predicted(k, left[some], above[some], right[some], corner[some])
+        if t == 0:
+            value[:] = 0xFF000000
+        out[y + 1, x + 1] = add(image[y, x], value)
+    return out[1:, 1:-1]
+
+
 class _Writer:
     def __init__(self):
         self.value, self.count = 0, 0
