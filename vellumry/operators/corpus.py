@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from ..functions.shared import written
 
 PERMUTATIONS, SHINGLE = 64, 5
 BUDGET = 60_000
@@ -87,7 +88,8 @@ def duplicates(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     are one group; for a threshold of t values at most 64 - t differ, so one of 64 - t + 1 bands must agree whole, and
     those bands replace the single values as join keys.
     """
-    sigs = signatures(docs)
+    # the signatures cost the most and are read several times: they are written once
+    sigs = written(signatures(docs), "signatures")
     least = sigs.groupBy("sig").agg(F.min("doc_id").alias("first"))
     if threshold < 0.65:
         return sigs.join(least, "sig").filter(F.col("doc_id") > F.col("first")).select("doc_id", F.col("first").alias("duplicate_of"))
@@ -95,6 +97,8 @@ def duplicates(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     edges = np.linspace(0, PERMUTATIONS, PERMUTATIONS - need + 2).round().astype(int)
     bands = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", int(s) + 1, int(e - s))) for i, (s, e) in enumerate(zip(edges, edges[1:]))])
     keyed = least.select("sig", "first", F.explode(bands).alias("band"))
+    several = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    keyed = written(keyed.join(several, "band", "left_semi"), "bands")
     pair = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("y.first") < F.col("x.first")))
     near = pair.filter(agreeing(F.col("x.sig"), F.col("y.sig")) >= need).groupBy(F.col("x.first").alias("first")).agg(F.min("y.first").alias("before"))
     return (

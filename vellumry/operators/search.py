@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import small
+
 TERM = r"[a-z0-9]+(?:[./][a-z0-9]+)*"
 #: Query vectors, in bytes, that are sent to every task at once; more are searched in several passes.
 QUERY_BYTES = 16 << 20
@@ -23,24 +27,67 @@ def tfidf(docs: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
 
     A query term weighs its inverse document frequency, a document's term that times its share of the document; the
     score is the cosine over the query's terms. Equal scores rank by doc_id; documents without a query term have none.
-    Terms that no query asks for are dropped before the first shuffle.
+    Two passes over the documents, neither of which moves them: one counts the documents of each term asked for, one
+    scores each document against weights that travel in parts of a bounded size, and keeps k rows a batch and query.
     """
-    q = queries.select("item_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    asked = q.select("term").distinct()
-    n = docs.agg(F.count("*").alias("n"))
-    t = docs.select("doc_id", terms("text").alias("t")).select("doc_id", F.size("t").alias("length"), F.explode_outer("t").alias("term")).filter("term is not null")
-    tf = t.join(asked, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = asked.join(df, "term", "left").crossJoin(n).select("term", F.when(F.col("df").isNotNull(), F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).otherwise(1.0).alias("idf"))
-    weighted = q.join(idf, "term")
-    norm = weighted.groupBy("item_id").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("norm"))
-    w = F.col("tf") / F.col("length") * F.col("idf")
-    scored = (
-        tf.join(weighted, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("idf") * w).alias("dot"), F.sqrt(F.sum(w * w)).alias("own"))
-        .join(norm, "item_id").withColumn("score", F.bround(F.col("dot") / (F.col("own") * F.col("norm")), 6))
-    )
+    q = queries.select("item_id", F.explode_outer(F.array_distinct(terms("text"))).alias("term")).filter("term is not null")
+    n = docs.count()
+    there = docs.select(F.explode_outer(F.array_distinct(terms("text"))).alias("term")).filter("term is not null")
+    df = there.join(small(q.select("term").distinct(), 96), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.when(F.col("df").isNotNull(), F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).otherwise(1.0)
+    weights = q.join(df, "term", "left").select(F.col("item_id").cast("long").alias("item_id"), "term", idf.alias("idf")).orderBy("item_id", "term")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found, part, size = None, [], 0
+    for r in weights.toLocalIterator():
+        if size > QUERY_BYTES and r[0] != part[-1][0]:
+            found, part, size = _scored(own, part, k, found), [], 0
+        part.append(r)
+        size += 48 + len(r[1])
+    found = _scored(own, part, k, found)
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+
+
+def _scored(docs: DataFrame, weights: list, k: int, before: DataFrame | None) -> DataFrame:
+    """``before`` and the best k scores of each batch for the queries of (item_id, term, idf) rows."""
+    if not weights:
+        return docs.sparkSession.createDataFrame([], "item_id long, doc_id long, score double") if before is None else before
+    items = np.array(sorted({r[0] for r in weights}), np.int64)
+    number = {t: i for i, t in enumerate(sorted({r[1] for r in weights}))}
+    term = np.array([number[r[1]] for r in weights], np.int64)
+    query, idf = np.searchsorted(items, [r[0] for r in weights]), np.array([r[2] for r in weights], np.float64)
+    norm = np.sqrt(np.bincount(query, idf**2, len(items)))
+    order = np.argsort(term, kind="stable")
+    query, idf, first = query[order], idf[order], np.searchsorted(term[order], np.arange(len(number) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((items, number, query, idf, first, norm))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, number, query, idf, first, norm = shared.value
+        word = re.compile(TERM)
+        for batch in batches:
+            rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                words = word.findall((text.as_py() or "").lower())
+                tf = Counter(number[w] for w in words if w in number)
+                if not tf:
+                    continue
+                at = np.array(sorted(tf))
+                size = first[at + 1] - first[at]
+                entry = np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                w = np.repeat(np.array([tf[t] for t in at.tolist()], np.float64) / len(words), size) * idf[entry]
+                dot, own = np.bincount(query[entry], idf[entry] * w, len(items)), np.bincount(query[entry], w * w, len(items))
+                some = np.flatnonzero(own)
+                rows.append((some, np.full(len(some), doc), (dot[some] / (np.sqrt(own[some]) * norm[some])).round(6)))
+            if not rows:
+                continue
+            which, doc, score = (np.concatenate(x) for x in zip(*rows))
+            order = np.lexsort((doc, -score, which))
+            which, doc, score = which[order], doc[order], score[order]
+            keep = np.arange(len(which)) - np.searchsorted(which, which) < k
+            yield pa.RecordBatch.from_arrays([pa.array(items[which[keep]]), pa.array(doc[keep]), pa.array(score[keep])], ["item_id", "doc_id", "score"])
+
+    one = docs.mapInArrow(run, "item_id long, doc_id long, score double")
+    return one if before is None else before.unionByName(one)
 
 
 def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
