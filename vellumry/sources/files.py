@@ -299,3 +299,6 @@ def documents(spark: SparkSession, folder: str, glob: str | None = None) -> Data
     """Every file below a folder, parsed."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return parsed((r.option("pathGlobFilter", glob) if glob else r).load(folder).select("path", "content"))
+
+
+from . import office as _office  # noqa: E402,F401  registers its readers
