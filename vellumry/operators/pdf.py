@@ -5,10 +5,14 @@ Whoever has a PDF library supplies the rows; nothing here reads files. Spans of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
+from ..functions.binding import let
 
 TOP, BOTTOM = 0.12, 0.88
 IMAGE_CHARS = 50
@@ -120,3 +124,137 @@ def column_order(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     step = side.withColumn("_cross", (F.lag("_s").over(Window.partitionBy("doc_id", "page").orderBy("idx")) != F.col("_s")).cast("int"))
     out = step.groupBy("doc_id", "page", "boundary").agg(F.count("*").alias("_n"), (F.sum("_cross") / (F.count("*") - 1)).alias("transition_rate")).filter("_n >= 5").drop("_n")
     return out.withColumn("flagged", F.col("transition_rate") >= 0.28)
+
+
+#: A line start counts as a column's margin if so many lines share it; lines are so many points high.
+MARGIN_LINES, LINE_SLACK = 2, 3.0
+
+
+def column_boundaries(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, boundary) with boundaries as shares of the width: at most two a page, in order.
+
+    A line takes the spans within 3 points below its first one. Left ends of lines, rounded to hundredths, that two lines
+    share are margins; a boundary lies halfway between two margins over 0.10 apart of which the right one is between
+    0.30 and 0.70.
+    """
+    line = lambda s, p: F.when(
+        (F.size(s) > 0) & (p["y"] - F.element_at(s, -1)["y"] <= LINE_SLACK),
+        F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["y"].alias("y"), F.least(F.element_at(s, -1)["x"], p["x"]).alias("x")))),
+    ).otherwise(F.concat(s, F.array(p)))
+    on = spans.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")))).alias("s"))
+    lines = on.select("doc_id", "page", F.explode_outer(F.aggregate("s", F.expr("cast(array() as array<struct<y: double, x: double>>)"), line)).alias("l")).filter("l is not null")
+    rel = lines.join(pages.select("doc_id", "page", "width"), ["doc_id", "page"]).filter("width > 0").withColumn("r", F.col("l.x") / F.col("width"))
+    m = rel.filter("r > 0.02 and r < 0.98").groupBy("doc_id", "page", F.bround("r", 2).alias("m")).agg(F.count("*").alias("n")).filter(F.col("n") >= MARGIN_LINES)
+    w = Window.partitionBy("doc_id", "page").orderBy("m")
+    b = m.withColumn("p", F.lag("m").over(w)).filter((F.col("m") - F.col("p") > 0.10) & (F.col("m") > 0.30) & (F.col("m") < 0.70))
+    return b.withColumn("k", F.row_number().over(w)).filter("k <= 2").select("doc_id", "page", ((F.col("p") + F.col("m")) / 2).alias("boundary"))
+
+
+def column_of(spans: DataFrame, pages: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """spans with ``column``: how many of the page's boundaries lie at or left of the span."""
+    b = boundaries.groupBy("doc_id", "page").agg(F.collect_list("boundary").alias("_b"))
+    s = spans.join(pages.select("doc_id", "page", "width"), ["doc_id", "page"]).join(b, ["doc_id", "page"], "left")
+    rel = F.col("x") / F.col("width")
+    n = F.coalesce(F.size(F.filter(F.coalesce("_b", F.array().cast("array<double>")), lambda x: x <= rel)), F.lit(0))
+    return s.withColumn("column", F.when(F.col("width") > 0, n).otherwise(0)).drop("_b", "width")
+
+
+def clustered(boxes: DataFrame, line: float = 6, gap: float = 30, least: float = 8) -> DataFrame:
+    """(doc_id, page, x0, y0, x1, y1): boxes of a formula's characters as one box where they follow one another on a line,
+    centres at most ``line`` and ends at most ``gap`` apart; narrower ones than ``least`` are left out."""
+    mid = (F.col("y0") + F.col("y1")) / 2
+    w = Window.partitionBy("doc_id", "page").orderBy("_m", "x0", "x1", "y0")
+    b = boxes.withColumn("_m", mid).withColumn("_new", F.coalesce((F.abs(F.col("_m") - F.lag("_m").over(w)) > line) | (F.col("x0") - F.lag("x1").over(w) > gap), F.lit(True)))
+    c = b.withColumn("_c", F.sum(F.col("_new").cast("int")).over(w)).groupBy("doc_id", "page", "_c")
+    out = c.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return out.filter(F.col("x1") - F.col("x0") >= least).drop("_c")
+
+
+#: Short lower-case words that are no fragments.
+SHORT_WORDS = "all and avg bar cfm deg est for gpm high hrs kpa kwh lbs low max mbps mid min mph n/a na net no or pct per psi qty ref rpm sec sum tbd the vs yes".split()
+
+
+def rejection(grid: Column) -> Column:
+    """Why a grid, its first row the header, is no table, or null: the first reason that holds, in this order.
+
+    too_short, too_few_cols, too_many_cols, dot_leader, word_fragment, too_sparse, prose_cells, single_letter_split,
+    word_split, line_number_bleed, line_number_col.
+    """
+
+    def reasons(g: Column) -> Column:
+        full = lambda r: F.filter(F.transform(r, lambda c: txt.strip(F.coalesce(c, F.lit("")))), lambda c: c != "")
+        head, rows = full(g[0]), F.slice(g, 2, F.size(g))
+        return let(F.struct(head.alias("head"), F.transform(rows, full).alias("rows"), F.flatten(F.transform(rows, full)).alias("cells"), F.aggregate(rows, F.lit(0), lambda s, r: s + F.size(r)).alias("places")), judged)
+
+    def judged(t: Column) -> Column:
+        head, rows, cells = t["head"], t["rows"], t["cells"]
+        n, cols = F.size(cells), F.size(head)
+        share = lambda kept, of, least: (of > 0) & (F.size(kept) / of > least)
+        dots = F.filter(rows, lambda r: F.array_join(r, " ").rlike(r"\.{5,}"))
+        short = F.filter(cells, lambda c: c.rlike(r"^\p{Ll}{1,4}$") & ~c.isin(*SHORT_WORDS))
+        words = F.aggregate(cells, F.lit(0), lambda s, c: s + txt.word_count(c))
+        broken = lambda r: F.aggregate(F.zip_with(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 2, F.size(r)), lambda a, b: (a.rlike(r"\p{L}$") & b.rlike(r"^\p{Ll}")).cast("int")), F.lit(0), lambda s, x: s + x)
+        pairs = lambda r: F.greatest(F.size(r) - 1, F.lit(0))
+        single = F.filter(rows, lambda r: (F.size(r) >= 2) & F.coalesce(F.get(r, 0).rlike(r"^\p{L}$") & F.get(r, 1).rlike(r"^\p{Ll}"), F.lit(False)))
+        split = F.aggregate(rows, broken(head), lambda s, r: s + broken(r)) / F.nullif(F.aggregate(rows, pairs(head), lambda s, r: s + pairs(r)), F.lit(0))
+        several = F.size(rows) >= 2
+        return (
+            F.when(F.size(rows) == 0, "too_short").when(cols < 2, "too_few_cols").when(cols > 12, "too_many_cols").when(F.size(dots) > F.size(rows) * 0.4, "dot_leader")
+            .when(share(short, n, 0.25), "word_fragment").when((t["places"] > 0) & ((t["places"] - n) / t["places"] > 0.65), "too_sparse").when((n > 0) & (words / n > 12), "prose_cells")
+            .when(several & (F.size(single) / F.size(rows) > 0.2), "single_letter_split").when(several & (split > 0.3), "word_split")
+            .when(head[0].rlike(r"^\d{1,3}\s+[A-Z]"), "line_number_bleed").when((cols <= 3) & head[0].rlike(r"^0*(?:[1-9]|1\d|20)$"), "line_number_col")
+        )
+
+    return F.when(F.size(grid) < 2, "too_short").otherwise(reasons(grid))
+
+
+def stitched_tables(tables: list[dict], slack: float = 30) -> list[dict]:
+    """Tables of a document, in order, with the second of two joined to the first where a page break cut them: the next
+    table, on the next page, with as many columns, whose header is the same (it is then dropped), or where the first
+    ends within ``slack`` of its page's bottom and the second begins within it of its page's top. Until nothing joins.
+
+    A table is a dict of page, header_rows, grid, y0, y1 and height (of its page), and gets ``parts``: (page, rows).
+    """
+    now = [{**t, "parts": [(t["page"], len(t["grid"]))]} for t in tables]
+    while True:
+        out, i = [], 0
+        while i < len(now):
+            a = now[i]
+            b = now[i + 1] if i + 1 < len(now) else None
+            joined = None if b is None else _stitched(a, b, slack)
+            out.append(joined or a)
+            i += 2 if joined else 1
+        if len(out) == len(now):
+            return out
+        now = out
+
+
+def _stitched(a: dict, b: dict, slack: float) -> dict | None:
+    width = lambda t: max(map(len, t["grid"]), default=0)
+    if a["page"] is None or b["page"] is None or b["page"] != a["page"] + 1 or width(a) != width(b):
+        return None
+    head = lambda t: [[(c or "").strip() for c in r] for r in t["grid"][: t["header_rows"]]]
+    same = bool(head(a)) and head(a) == head(b)
+    if not same:
+        if None in (a["y1"], b["y0"], a["height"]) or a["height"] <= 0 or a["height"] - a["y1"] > slack or b["y0"] > slack:
+            return None
+    rest = b["grid"][b["header_rows"] :] if same else b["grid"]
+    parts = a["parts"] + [(p, n - (b["header_rows"] if same and k == 0 else 0)) for k, (p, n) in enumerate(b["parts"])]
+    return {**a, "grid": a["grid"] + rest, "y1": b["y1"], "parts": parts}
+
+
+_TABLE = "page: int, header_rows: int, grid: array<array<string>>, y0: double, y1: double, height: double"
+
+
+def stitched(docs: DataFrame) -> DataFrame:
+    """(doc_id, tables) with tables cut by page breaks joined; tables: array of (page, header_rows, grid, y0, y1, height)
+    in order, and afterwards parts: array of (page, rows). One pass over whole documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.struct([("page", pa.int32()), ("rows", pa.int32())])
+        kind = pa.list_(pa.struct([("page", pa.int32()), ("header_rows", pa.int32()), ("grid", pa.list_(pa.list_(pa.string()))), ("y0", pa.float64()), ("y1", pa.float64()), ("height", pa.float64()), ("parts", pa.list_(part))]))
+        for batch in batches:
+            got = [[{**t, "parts": [{"page": p, "rows": n} for p, n in t["parts"]]} for t in stitched_tables(ts or [])] for ts in batch.column("tables").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, kind)], ["doc_id", "tables"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tables").mapInArrow(run, f"doc_id long, tables array<struct<{_TABLE}, parts: array<struct<page: int, rows: int>>>>")
