@@ -258,3 +258,49 @@ def stitched(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, kind)], ["doc_id", "tables"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tables").mapInArrow(run, f"doc_id long, tables array<struct<{_TABLE}, parts: array<struct<page: int, rows: int>>>>")
+
+
+STYLES = ("strike", "under", "bold", "italic", "sup", "sub")
+
+
+def inline_runs(spans: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
+    """(keys, text): the spans of each block (keys, idx, text and six flags) as one text, runs of one style marked together."""
+    w = Window.partitionBy(*keys).orderBy(idx)
+    style = F.struct(*[F.coalesce(c, F.lit(False)).alias(c) for c in STYLES])
+    s = spans.withColumn("_style", style).withColumn("_new", F.coalesce(F.lag("_style").over(w) != F.col("_style"), F.lit(True)))
+    runs = s.withColumn("_run", F.sum(F.col("_new").cast("int")).over(w)).groupBy(*keys, "_run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(idx, "text"))), lambda x: x["text"]), " ").alias("t"), F.first("_style").alias("f"))
+    mark = lambda t, on, left, right: F.when(on, F.concat(F.lit(left), t, F.lit(right))).otherwise(t)
+    f = F.col("f")
+    t = mark(mark(F.col("t"), f["strike"], "~~", "~~"), f["under"], "<u>", "</u>")
+    t = F.when(f["bold"] & f["italic"], F.concat(F.lit("***"), t, F.lit("***"))).when(f["bold"], F.concat(F.lit("**"), t, F.lit("**"))).when(f["italic"], F.concat(F.lit("*"), t, F.lit("*"))).otherwise(t)
+    t = F.when(f["sup"], F.concat(F.lit("<sup>"), t, F.lit("</sup>"))).when(f["sub"], F.concat(F.lit("<sub>"), t, F.lit("</sub>"))).otherwise(t)
+    return runs.withColumn("t", t).groupBy(*keys).agg(txt.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_run", "t"))), lambda x: x["t"]), " ")).alias("text"))
+
+
+_CELL_FURNITURE = r"(?i)^(?:[0-9]+/[0-9]+/[0-9]{2,4}\s+[0-9]+:[0-9]+\s*(?:AM|PM)\s+Page\s+\S+|page\s+[0-9]+(?:\s+of\s+[0-9]+)?)$|^[0-9]{4}\s+©"
+
+
+def cell_text(c: Column) -> Column:
+    """A cell without unmapped glyphs, invisible characters and footnote marks, blanks collapsed; page furniture is empty."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\(cid:[0-9]+\)|�|[­​-‍﻿]", "")
+    t = txt.strip(F.regexp_replace(F.regexp_replace(t, r"[²³¹⁰-⁹]+$", ""), r"\s+", " "))
+    return F.when(t.rlike(_CELL_FURNITURE), "").otherwise(t)
+
+
+def normalised(grid: Column) -> Column:
+    """A grid of ``cell_text`` cells, short rows filled; above the first row with a digit, a cell that repeats the one above
+    it is what is left of a merged cell, and is emptied."""
+
+    def filled(rows: Column) -> Column:
+        wide = F.array_max(F.transform(rows, F.size))
+        return let(F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r)))), unghosted)
+
+    def unghosted(rows: Column) -> Column:
+        data = F.transform(rows, lambda r: F.exists(r, lambda c: c.rlike("[0-9]")))
+        head = F.when(F.array_position(data, True) > 0, F.array_position(data, True) - 1).otherwise(F.size(rows))
+        empty = F.array().cast("array<array<string>>")
+        return F.aggregate(rows, empty, lambda done, r: F.concat(done, F.array(F.when(
+            (F.size(done) > 0) & (F.size(done) < head), F.zip_with(r, F.element_at(done, -1), lambda c, above: F.when((c != "") & (c == above), "").otherwise(c))
+        ).otherwise(r))))
+
+    return F.when(F.size(grid) > 0, let(F.transform(grid, lambda r: F.transform(r, cell_text)), filled)).otherwise(grid)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import pdf
+from ..operators import expectation, pdf
 from .tables import grids, read
 
 #: Columns of a span in the SQL that Spark and DuckDB share.
@@ -96,6 +96,59 @@ def pdf_stitched_tables(spark, sf_dir):
     return s.select("doc_id", F.col("t.page").alias("page"), F.size("t.grid").alias("rows"), F.array_join(F.transform("t.parts", lambda p: F.concat_ws(":", p["page"], p["rows"])), ",").alias("parts"))
 
 
+def pdf_inline_runs(spark, sf_dir):
+    """Line items as spans of a block an order, styled by quantity, discount and flags."""
+    line = read(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").dropDuplicates(["l_orderkey", "l_linenumber"])
+    s = line.select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("w"), F.col("l_linenumber")).alias("text"), (F.col("l_linenumber") % 3 == 0).alias("bold"), (F.col("l_orderkey") % 2 == 0).alias("italic"),
+        (F.col("l_linenumber") > 5).alias("strike"), (F.col("l_orderkey") % 7 == 0).alias("under"), (F.col("l_linenumber") == 4).alias("sup"), F.lit(None).cast("boolean").alias("sub"),
+    )
+    return pdf.inline_runs(s, ["doc_id"])
+
+
+#: Cells and what stays of them.
+_CELLS = {
+    "(cid:12)abc (cid:3)": "abc", "  a \t b\n c ": "a b c", "x²⁴": "x", "Page 3 of 9": "", "12/03/2021 10:15 AM Page 4": "", "soft\u00adhy\u200bphen\ufffd": "softhyphen", "1999 © us": "", "²a": "²a", "page nine": "page nine", "": "",
+}
+
+
+def pdf_cells(spark, sf_dir):
+    """Grids of a customer: a header of two rows that repeat each other, one row of an odd cell, and the orders, one cell short."""
+    odd = F.array(*[F.lit(c) for c in _CELLS])
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.array(F.col("o_orderkey").cast("string"), F.concat(F.lit(" "), F.col("o_orderstatus"))))).alias("rows"))
+    head = F.array(F.array(F.lit("Order"), F.lit("State"), F.lit("Note")), F.array(F.lit("Order"), F.lit("State "), F.lit("y")), F.array(F.lit("Order"), F.lit(None), F.get(odd, (F.col("o_custkey") % len(_CELLS)).cast("int"))))
+    g = o.select("o_custkey", pdf.normalised(F.concat(head, F.col("rows"))).alias("g"))
+    return g.select(F.col("o_custkey").alias("doc_id"), F.array_join(F.transform("g", lambda r: F.array_join(r, "|")), ";").alias("grid"))
+
+
+def page_table_expectation(spark, sf_dir):
+    """Events of a user as blocks of five pages, some captions, some lines of numbers or dots; errors as rejected candidates."""
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").alias("doc_id"), (F.col("event_id") % 5).cast("int").alias("page"))
+    content = F.when(F.col("event_id") % 90 == 1, "see Table 3 below").when(F.col("event_id") % 11 == 2, "total 12 13,5%\nno 4").when(F.col("event_id") % 13 == 3, "Part . . . . 4\nOther ..... 5").otherwise("plain words here")
+    blocks = e.filter("event_type <> 'error'").select("doc_id", "page", F.when(F.col("event_id") % 17 == 0, "table").otherwise("paragraph").alias("type"), content.alias("content"))
+    rejected = e.filter("event_type = 'error' and event_id % 30 < 4").select("doc_id", "page", F.when(F.col("event_id") % 30 == 0, "dot_leader").otherwise("too_sparse").alias("reason"))
+    docs = e.select("doc_id").distinct().withColumn("label", F.when(F.col("doc_id") % 4 == 0, "table_heavy").otherwise("native_text"))
+    x = expectation.table_expectation(blocks, rejected, docs)
+    return x.select("doc_id", "page", F.array_join("signals", ",").alias("signals"), "expected", "confidence")
+
+
+def pdf_furniture_tables(spark, sf_dir):
+    """Tables of two rows at places of the page by order."""
+    o = read(spark, sf_dir, "orders")
+    content = F.concat(F.lit("| Key | Priority of it |\n| --- | --- |\n| "), F.col("o_orderkey").cast("string"), F.lit(" | "), F.col("o_orderpriority"), F.lit(" |"))
+    y0 = (F.col("o_orderkey") % 700).cast("double")
+    return o.select("o_orderkey", expectation.furniture_table(content, y0, y0 + 60, F.when(F.col("o_orderkey") % 10 == 0, 0.0).otherwise(800.0)).alias("furniture"))
+
+
+def interleaved_parts(spark, sf_dir):
+    """Events of a user: errors are images, every third without a picture."""
+    e = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"), F.col("event_id").alias("idx"), F.when(F.col("event_type") == "error", "image").otherwise("paragraph").alias("type"),
+        F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(F.lit("e"), F.col("event_id"))).alias("content"), (F.col("event_id") % 3 > 0).alias("has_image"),
+    )
+    return expectation.interleaved(e, 5)
+
+
 def _by_order():
     from pyspark.sql import Window
 
@@ -104,7 +157,7 @@ def _by_order():
 
 QUERIES = {
     f.__name__: f
-    for f in (pdf_page_labels, pdf_removable, pdf_outside_tables, pdf_margin_numbers, pdf_column_order, pdf_columns, pdf_formula_boxes, pdf_table_rejection, pdf_stitched_tables)
+    for f in (pdf_page_labels, pdf_removable, pdf_outside_tables, pdf_margin_numbers, pdf_column_order, pdf_columns, pdf_formula_boxes, pdf_table_rejection, pdf_stitched_tables, pdf_inline_runs, pdf_cells, page_table_expectation, pdf_furniture_tables, interleaved_parts)
 }
 
 _S = "s AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _SPAN.items()) + " FROM lineitem), p AS (SELECT DISTINCT doc_id, page, CAST(500 AS DOUBLE) AS width, CAST(800 AS DOUBLE) AS height FROM s)"
@@ -143,4 +196,21 @@ ORACLE_SQL = {
  f AS (SELECT *, coalesce(lag(first) OVER (PARTITION BY d ORDER BY page), false) AS taken FROM t)
  SELECT CAST(d AS BIGINT) AS doc_id, CAST(page AS INTEGER) AS page, CAST(CASE WHEN NOT first THEN 2 WHEN same THEN 3 ELSE 4 END AS INTEGER) AS rows,
  page || ':2' || CASE WHEN first THEN ',' || (page + 1) || CASE WHEN same THEN ':1' ELSE ':2' END ELSE '' END AS parts FROM f WHERE NOT taken""",
+    "pdf_inline_runs": """WITH s AS (SELECT DISTINCT l_orderkey AS d, l_linenumber AS i FROM lineitem WHERE l_orderkey % 5 = 0), k AS (SELECT *, (i % 3 = 0)::INT + 2 * (i > 5)::INT + 4 * (i = 4)::INT AS f FROM s),
+ r AS (SELECT *, sum(CASE WHEN f IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY i) AS r FROM (SELECT *, lag(f) OVER (PARTITION BY d ORDER BY i) AS p FROM k)),
+ t AS (SELECT d, r, any_value(f) AS f, string_agg('w' || i, ' ' ORDER BY i) AS t FROM r GROUP BY d, r), a AS (SELECT d, r, f, CASE WHEN f & 2 > 0 THEN '~~' || t || '~~' ELSE t END AS t FROM t), u AS (SELECT d, r, f, CASE WHEN d % 7 = 0 THEN '<u>' || t || '</u>' ELSE t END AS t FROM a),
+ b AS (SELECT d, r, f, CASE WHEN f & 1 > 0 AND d % 2 = 0 THEN '***' || t || '***' WHEN f & 1 > 0 THEN '**' || t || '**' WHEN d % 2 = 0 THEN '*' || t || '*' ELSE t END AS t FROM u)
+ SELECT d AS doc_id, string_agg(CASE WHEN f & 4 > 0 THEN '<sup>' || t || '</sup>' ELSE t END, ' ' ORDER BY r) AS text FROM b GROUP BY d""",
+    "pdf_cells": f"""SELECT o_custkey AS doc_id, 'Order|State|Note;||y;Order||' || [{", ".join("'" + v + "'" for v in _CELLS.values())}][1 + o_custkey % {len(_CELLS)}] || ';' || string_agg(o_orderkey || '|' || o_orderstatus || '|', ';' ORDER BY CAST(o_orderkey AS VARCHAR)) AS grid FROM orders GROUP BY o_custkey""",
+    "page_table_expectation": """WITH e AS (SELECT event_id AS e, event_type AS t, user_id AS d, CAST(event_id % 5 AS INTEGER) AS p FROM events),
+ k AS (SELECT d, p, CASE WHEN e % 90 = 1 THEN 'c' WHEN e % 11 = 2 THEN 'n' WHEN e % 13 = 3 THEN 'd' ELSE '' END AS k, e % 17 = 0 AS tab FROM e WHERE t <> 'error'),
+ b AS (SELECT d, p, bool_or(NOT tab AND k = 'c') AS c, count_if(NOT tab AND k = 'n') >= 3 AS n, 2 * count_if(NOT tab AND k = 'd') >= 3 AS l, bool_or(tab) AS tab FROM k GROUP BY ALL), r AS (SELECT d, p, bool_or(e % 30 = 0) AS dot FROM e WHERE t = 'error' AND e % 30 < 4 GROUP BY ALL),
+ s AS (SELECT d, p, r.dot IS NOT NULL AS r, coalesce(c, false) AS c, coalesce(n, false) AS n, coalesce(dot, false) OR coalesce(l, false) AS l, d % 4 = 0 AND NOT coalesce(tab, false) AS h FROM b FULL JOIN r USING (d, p)),
+ f AS (SELECT *, CAST(r AS INTEGER) + CAST(c OR n AS INTEGER) + CAST(l AS INTEGER) + CAST(h AS INTEGER) AS f FROM s)
+ SELECT d AS doc_id, p AS page, array_to_string(list_filter([CASE WHEN r THEN 'rejected_candidate' END, CASE WHEN c THEN 'caption_nearby' END, CASE WHEN n THEN 'numeric_alignment' END, CASE WHEN l THEN 'leader_dots' END, CASE WHEN h THEN 'doc_table_heavy' END], lambda x: x IS NOT NULL), ',') AS signals,
+ CASE WHEN f >= 2 AND NOT (r AND n AND NOT c AND NOT l AND NOT h) THEN 'true' WHEN f > 0 THEN 'unknown' ELSE 'false' END AS expected, f / 4 AS confidence FROM f""",
+    "pdf_furniture_tables": "SELECT o_orderkey, o_orderkey % 10 > 0 AND (o_orderkey % 700 < 80 OR o_orderkey % 700 + 60 > 720) AND (1 + (length(CAST(o_orderkey AS VARCHAR)) <= 6)::INT + (length(replace(o_orderpriority, ' ', '')) <= 6)::INT) / 4 >= 0.45 AS furniture FROM orders",
+    "interleaved_parts": """WITH e AS (SELECT user_id AS d, event_id AS i, event_type = 'error' AS im, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'e' || event_id END AS c, event_id % 3 > 0 AS h FROM events), n AS (SELECT *, im AND h AND sum(CAST(im AND h AS INTEGER)) OVER (PARTITION BY d ORDER BY i) <= 5 AS y FROM e),
+ p AS (SELECT *, sum(CAST(y AS INTEGER)) OVER (PARTITION BY d ORDER BY i) AS p FROM n), t AS (SELECT d, p * 2 + 1 AS a, 'text' AS type, string_agg(CASE WHEN y THEN '*' || c || '*' WHEN im THEN '[Image: ' || c || ']' ELSE c END, chr(10) || chr(10) ORDER BY i) AS text FROM p WHERE c <> '' GROUP BY d, p),
+ a AS (SELECT * FROM t UNION ALL SELECT d, p * 2, 'image', c FROM p WHERE y) SELECT d AS doc_id, CAST(row_number() OVER (PARTITION BY d ORDER BY a) AS INTEGER) AS part, type, text FROM a""",
 }
