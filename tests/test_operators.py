@@ -338,3 +338,38 @@ def test_queue(spark):
     q = ingest.enqueued(jobs, found)
     assert {r.path: r.status for r in q.collect()} == {"a": "done", "b": "pending", "c": "pending"} and ingest.oldest(q).first().path == "c"
     assert {r.status: r.n for r in ingest.stats(ingest.marked(q, spark.createDataFrame([("c", "low_quality")], "path string, status string"))).collect()} == {"done": 1, "pending": 1, "low_quality": 1}
+
+
+@pytest.mark.parametrize("budget", [10, 50, 1000])
+def test_packs_of_a_hot_group_over_many_parts(spark, budget):
+    import random
+
+    r = random.Random(budget)
+    rows = [("hot", i, r.choice([0, 0, 1, 5, 9, 30, 60, 200])) for i in range(700)] + [("b", i, r.randint(0, 9)) for i in range(90)] + [(None, i, 7) for i in range(30)] + [(f"g{i}", 0, 5) for i in range(20)]
+    got = {(x.g, x.o): x.pack for x in corpus.packed(spark.createDataFrame(rows, "g string, o int, tokens int"), "g", "o", budget).collect()}
+    want, now, total, pack = {}, object(), 0, 0
+    for g, o, n in sorted(rows, key=lambda x: (x[0] or "", x[1])):
+        if g != now:
+            now, total, pack = g, 0, 0
+        elif total + n > budget and total > 0:
+            pack, total = pack + 1, 0
+        total += n
+        want[g, o] = pack
+    assert got == want
+
+
+def test_table_rejections_and_stitching_passes():
+    from vellumry.operators import pdf
+
+    t = lambda page, head, y0=400.0, y1=400.0: {"page": page, "header_rows": 1, "grid": [[head], [str(page)]], "y0": y0, "y1": y1, "height": 800.0}
+    joined = pdf.stitched_tables([t(1, "a"), t(2, "a"), t(2, "a"), t(3, "a"), t(3, "b", y1=790.0), t(4, "c", y0=10.0), t(6, "c")])
+    assert [(x["page"], len(x["grid"]), x["parts"]) for x in joined] == [(1, 5, [(1, 2), (2, 1), (2, 1), (3, 1)]), (3, 4, [(3, 2), (4, 2)]), (6, 2, [(6, 2)])]
+    assert pdf.stitched_tables([]) == []
+
+
+def test_tfidf_without_queries_or_matches(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, ""), (4, "ALPHA alpha")], "doc_id long, text string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert search.tfidf(docs, none).count() == 0
+    some = spark.createDataFrame([(1, "alpha"), (2, "nowhere"), (3, None)], "item_id long, text string")
+    assert [tuple(r)[:3] for r in search.tfidf(docs, some, 1).collect()] == [(1, 1, 1)]

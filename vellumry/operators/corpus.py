@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
-from ..functions.shared import written
+from ..functions.shared import small, written
 
 PERMUTATIONS, SHINGLE = 64, 5
 BUDGET = 60_000
@@ -116,28 +116,122 @@ def status(files: DataFrame, extensions: list[str]) -> DataFrame:
     ))
 
 
+def _jumps(tokens: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(running sums, packs, rest): how many packs a pack that begins at each row and those after it make up to the last
+    row, and how full the last one is."""
+    m = len(tokens)
+    cum = np.concatenate(([0], np.cumsum(tokens, dtype=np.int64)))
+    over = np.searchsorted(cum, cum[:-1] + budget, "right")
+    # the row that goes over begins a pack, unless the pack has no token yet: then the row after it does
+    after = np.where(cum[over - 1] > cum[:-1], over - 1, over)
+    packs, rest = np.ones(m + 1, np.int64), np.zeros(m + 1, np.int64)
+    rest[:m] = cum[m] - cum[:m]
+    for i, j in zip(range(m - 1, -1, -1), after[::-1].tolist()):
+        if j < m:
+            packs[i], rest[i] = packs[j] + 1, rest[j]
+    return cum, packs, rest
+
+
 def packed(sizes: DataFrame, group: str, order: str, budget: int = BUDGET) -> DataFrame:
     """sizes (group, order, tokens) with ``pack``, numbered from 0 within the group: next fit in order.
 
-    Rows stream through one sorted pass whose whole state is the running sum, so a group may be far larger than memory.
-    A document above the budget is a pack by itself.
+    A document above the budget is a pack by itself. Rows are range-partitioned by group and order, so that a group that
+    holds a third of all rows is many parts. What a part does to the pack that reaches it depends only on the first
+    row that no longer fits; each part's answer for every such row (at most ``budget`` different ones) is computed apart,
+    one pass over two rows a part then says how full the pack before each part is, and the parts number their packs.
     """
-    schema = sizes.select(group, order, "tokens").withColumn("pack", F.lit(0).cast("long")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = sizes.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = sizes.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col("tokens").cast("long").alias("_t"))
+    rows = written(rows.repartitionByRange(parts, "_g", "_o").withColumn("_p", F.spark_partition_id()), "parts")
+    lists = "total long, packs long, rest long, sums array<long>, packs_at array<long>, rest_at array<long>"
+    kind = rows.schema["_g"].dataType.simpleString()
+
+    def segments(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, object, np.ndarray]]:
+        """(part, group, tokens) of each group of each part, in order."""
+        now, held = None, []
+        for batch in tables:
+            p, g, t = batch.column("_p").to_pylist(), batch.column("_g").to_pylist(), batch.column("_t").to_numpy(zero_copy_only=False)
+            edges = [0, *[i for i in range(1, len(p)) if p[i] != p[i - 1] or g[i] != g[i - 1]], len(p)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    if held and now != (p[a], g[a]):
+                        yield *now, np.concatenate(held)
+                        held = []
+                    now = (p[a], g[a])
+                    held.append(t[a:b])
+        if held:
+            yield *now, np.concatenate(held)
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(p: object, g: object, t: np.ndarray) -> pa.RecordBatch:
+            cum, packs, rest = _jumps(t, budget)
+            n = int(np.searchsorted(cum[1:], budget, "right")) + 1
+            value = {"_g": g, "_p": p, "total": int(cum[-1]), "packs": int(packs[0]), "rest": int(rest[0]), "sums": cum[1:][:n].tolist(), "packs_at": packs[:n].tolist(), "rest_at": rest[:n].tolist()}
+            return pa.RecordBatch.from_pylist([value], schema=schema)
+
+        number = pa.int64()
+        schema = None
+        first, last = None, None
+        for p, g, t in segments(batches):
+            if schema is None:
+                schema = pa.schema([("_g", seen[0]), ("_p", pa.int32()), ("total", number), ("packs", number), ("rest", number), *[(c, pa.list_(number)) for c in ("sums", "packs_at", "rest_at")]])
+            if first != p:  # the first group of a part may go on from the one before, the last into the next
+                if last:
+                    yield row(*last)
+                yield row(p, g, t)
+                first, last = p, None
+            else:
+                last = (p, g, t)
+        if last:
+            yield row(*last)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    seen = [to_arrow_type(rows.schema["_g"].dataType)]
+    ordered = rows.repartition(parts, "_p").sortWithinPartitions("_p", "_g", "_o")
+    ends = written(ordered.mapInArrow(answers, f"_g {kind}, _p int, {lists}"), "ends")
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, full, base = object(), 0, 0
+        for batch in batches:
+            fulls, bases = [], []
+            for r in batch.to_pylist():
+                if r["_g"] != now:
+                    now, full, base = r["_g"], 0, 0
+                fulls.append(full)
+                bases.append(base)
+                if full == 0:
+                    full, base = r["rest"], base + r["packs"] - 1
+                else:
+                    e = int(np.searchsorted(r["sums"], budget - full, "right"))
+                    if e == len(r["sums"]):
+                        full += r["total"]
+                    else:
+                        full, base = r["rest_at"][e], base + r["packs_at"][e]
+            yield pa.RecordBatch.from_arrays([batch.column("_g"), batch.column("_p"), pa.array(fulls, pa.int64()), pa.array(bases, pa.int64())], ["_g", "_p", "_full", "_base"])
+
+    # two rows a part, of bounded size, in order
+    starts = written(ends.repartition(1).sortWithinPartitions("_g", "_p").mapInArrow(carried, f"_g {kind}, _p int, _full long, _base long"), "starts")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total, pack = object(), 0, 0
         for batch in batches:
             out = []
-            for g, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if g != now:
-                    now, total, pack = g, 0, 0
-                elif total + n > budget and total > 0:
+            for p, g, n, full, base in zip(*(batch.column(c).to_pylist() for c in ("_p", "_g", "_t", "_full", "_base"))):
+                if (p, g) != now:
+                    now, total, pack = (p, g), full or 0, base or 0
+                if total + n > budget and total > 0:
                     pack, total = pack + 1, 0
                 total += n
                 out.append(pack)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], schema=pa.schema([*batch.schema, pa.field("pack", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("_g"), batch.column("_o"), batch.column("_t"), pa.array(out, pa.int64())], ["_g", "_o", "_t", "pack"])
 
-    return sizes.select(group, order, "tokens").repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)
+    s = starts.select(F.col("_g").alias("_sg"), F.col("_p").alias("_sp"), "_full", "_base")
+    with_start = rows.join(small(s, 64), (F.col("_p") == F.col("_sp")) & F.col("_g").eqNullSafe(F.col("_sg")), "left")
+    done = with_start.select("_p", "_g", "_o", "_t", "_full", "_base").repartition(parts, "_p").sortWithinPartitions("_p", "_g", "_o")
+    got = done.mapInArrow(numbered, f"_g {kind}, _o {rows.schema['_o'].dataType.simpleString()}, _t long, pack long")
+    return got.select(F.col("_g").alias(group), F.col("_o").alias(order), F.col("_t").cast(sizes.schema["tokens"].dataType).alias("tokens"), "pack")
 
 
 def packs(sizes: DataFrame, group: str, order: str, budget: int = BUDGET) -> DataFrame:
