@@ -136,3 +136,28 @@ def to_tsv(entries: Column, title: Column) -> Column:
     row = F.transform(entries, lambda e: F.concat(F.replace(e["key"], F.lit("\t"), F.lit(" ")), F.lit("\t"), F.translate(e["value"], "\t\n", "  ")))
     head = F.coalesce(F.concat(F.lit("["), title, F.lit("]\n")), F.lit(""))
     return F.concat(head, _grouped(entries, row, "[Record ", "]"))
+
+
+def _looked_at() -> Column:
+    """Paragraphs of 2 to PARAGRAPH_LINES lines and at most PARAGRAPH_CHARS characters that have a colon."""
+    c = F.col("content")
+    n = F.size(F.filter(F.split(c, "\r\n|\r|\n"), lambda x: text.strip(x) != ""))
+    return (F.col("type") == "paragraph") & (F.length(c) <= PARAGRAPH_CHARS) & F.contains(c, F.lit("\n")) & F.contains(c, F.lit(":")) & n.between(2, PARAGRAPH_LINES)
+
+
+def promoted(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """blocks (keys, type, content) of which the paragraphs that ``classified`` promotes are groups of fields, drawn as bullets."""
+    fields = typed(lines(blocks.filter(_looked_at()), keys))
+    good = classified(fields, keys).filter("promote").select(*keys)
+    drawn = (
+        fields.join(good, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "key", "value"))).alias("_e"))
+        .select(*keys, to_markdown(F.transform("_e", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), F.lit(None).cast("string")).alias("_md"))
+    )
+    return blocks.join(drawn, keys, "left").withColumn("type", F.when(F.col("_md").isNotNull(), "key_value_group").otherwise(F.col("type"))).withColumn("content", F.coalesce("_md", "content")).drop("_md")
+
+
+def possible(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, entries, reason) of paragraphs with two fields or more that no exclusion rejects: what would be promoted, and
+    what lacks evidence. The default profile only reports these."""
+    c = classified(typed(lines(blocks.filter(_looked_at()), keys)), keys)
+    return c.filter((F.col("entries") >= 2) & (F.col("exclusions") == "")).select(*keys, "entries", F.when(F.col("reason") == "", "heuristic_disabled").otherwise(F.col("reason")).alias("reason"))

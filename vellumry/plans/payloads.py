@@ -1,14 +1,14 @@
-"""Queries on tables in payloads."""
+"""Queries on tables in payloads, and on paragraphs that are groups of fields."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import payload, tables
+from ..operators import key_values, payload, tables
 from .corpora import ORACLE_SQL as _TABLES
 from .documents import _tokens
-from .tables import grids
+from .tables import grids, read
 
 
 def table_payload(spark, sf_dir):
@@ -23,7 +23,28 @@ def table_payload(spark, sf_dir):
     return g.select("table_id", F.explode_outer(F.array(*modes)).alias("m")).select("table_id", "m.mode", "m.got.format", "m.got.tokens", "m.got.omitted")
 
 
-QUERIES = {"table_payload": table_payload}
+#: Paragraphs by customer: two addresses, a dialogue, two fields without evidence, one line, too long a text.
+_PARAGRAPHS = (
+    "concat('Email: a', c_custkey, '@x.org\\nnot a field\\nReply: b@x.org')", "concat('Ann: Hello there.\\nBob: Fine ', c_custkey, '.')", "concat('Colour: blue-ish\\nShape: round ', c_custkey)",
+    "concat('Email: a', c_custkey, '@x.org')", "concat('Email: a@x.org\\nReply: b@x.org\\n', repeat('long ', 150))",
+)
+
+
+def _paragraphs(spark, sf_dir):
+    content = " ".join(["CASE c_custkey % 5", *[f"WHEN {i} THEN {p}" for i, p in enumerate(_PARAGRAPHS)], "END AS content"])
+    return read(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "0 AS idx", "CASE WHEN c_custkey % 50 = 0 THEN 'code_block' ELSE 'paragraph' END AS type", content)
+
+
+def kv_promoted(spark, sf_dir):
+    """Paragraphs of the customers after promotion, without the long ones, which stay."""
+    return key_values.promoted(_paragraphs(spark, sf_dir), ["doc_id", "idx"]).filter("doc_id % 5 < 4").select("doc_id", "type", "content")
+
+
+def kv_possible(spark, sf_dir):
+    return key_values.possible(_paragraphs(spark, sf_dir), ["doc_id", "idx"]).select("doc_id", "entries", "reason")
+
+
+QUERIES = {f.__name__: f for f in (table_payload, kv_promoted, kv_possible)}
 
 _ROW = "array_to_string([CAST(o_orderkey AS VARCHAR), o_orderstatus, printf('%.2f', o_totalprice), strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority], chr(9))"
 _HEAD = "array_to_string(['o_orderkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'], chr(9))"
@@ -37,4 +58,9 @@ ORACLE_SQL = {
  e AS (SELECT *, f <> 'json_reference' AND om = 0 AND CASE mode WHEN 'adaptive' THEN k <= block * 1.05 AND k <= 60 WHEN 'fidelity_first' THEN k <= block * 3 ELSE true END AS ok FROM k, (VALUES ('adaptive'), ('fidelity_first'), ('full_inline')) m(mode))
  SELECT table_id, mode, f AS format, CAST(k AS INTEGER) AS tokens, CAST(om AS INTEGER) AS omitted FROM e
  QUALIFY row_number() OVER (PARTITION BY table_id, mode ORDER BY ok DESC, CASE WHEN ok THEN k ELSE 0 END, CASE WHEN ok THEN o WHEN f = 'preview_reference' THEN 0 ELSE 9 END) = 1""",
+    "kv_promoted": """SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 50 = 0 THEN 'code_block' WHEN c_custkey % 5 = 0 THEN 'key_value_group' ELSE 'paragraph' END AS type,
+ CASE c_custkey % 5 WHEN 1 THEN 'Ann: Hello there.' || chr(10) || 'Bob: Fine ' || c_custkey || '.' WHEN 2 THEN 'Colour: blue-ish' || chr(10) || 'Shape: round ' || c_custkey WHEN 3 THEN 'Email: a' || c_custkey || '@x.org'
+ ELSE CASE WHEN c_custkey % 50 = 0 THEN 'Email: a' || c_custkey || '@x.org' || chr(10) || 'not a field' || chr(10) || 'Reply: b@x.org' ELSE '- **Email:** a' || c_custkey || '@x.org' || chr(10) || '- **Reply:** b@x.org' END END AS content
+ FROM customer WHERE c_custkey % 5 < 4""",
+    "kv_possible": "SELECT c_custkey AS doc_id, CAST(2 AS BIGINT) AS entries, CASE c_custkey % 5 WHEN 0 THEN 'heuristic_disabled' ELSE 'insufficient_positive_evidence' END AS reason FROM customer WHERE c_custkey % 5 IN (0, 2) AND c_custkey % 50 > 0",
 }
