@@ -93,7 +93,7 @@ def test_components_match_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-# 7 -----------------------------------------------------------------------------------------------------------------
+# 7
 
 
 def multiset_jaccard(a, b):
@@ -178,7 +178,7 @@ def test_near_duplicates_of_nothing(spark):
     assert [r.doc_id for r in minhash_dedup.deduplicate(rows).collect()] == [2]
 
 
-# 10 ----------------------------------------------------------------------------------------------------------------
+# 10
 
 
 def test_embedded_passages_are_found_and_clean_documents_left(spark):
@@ -248,7 +248,7 @@ def test_tuned_bands_reach_the_recall():
     assert 1 - (1 - 0.75**4) ** b >= 0.97 > 1 - (1 - 0.75**4) ** (b - 1)
 
 
-# 2 -----------------------------------------------------------------------------------------------------------------
+# 2
 
 
 def edited(text, k, seed):
@@ -338,7 +338,7 @@ def test_decontamination_in_parts_gives_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontamination.contaminated(docs, bench).collect())) == whole and len(whole) == 6
 
 
-# 1 -----------------------------------------------------------------------------------------------------------------
+# 1
 
 
 def languages(n, seed=0, size=60):
@@ -401,7 +401,7 @@ def test_a_text_between_two_languages_is_ambiguous():
     assert min(gaps) < 0.3 * gaps[0]
 
 
-# 8 -----------------------------------------------------------------------------------------------------------------
+# 8
 
 
 @pytest.mark.parametrize(
@@ -446,7 +446,7 @@ def test_private_data_table(spark):
     assert pii.scan(docs.limit(0)).count() == 0
 
 
-# 6 -----------------------------------------------------------------------------------------------------------------
+# 6
 
 
 def plain_best_fit(sizes, capacity):
@@ -537,7 +537,7 @@ def test_packing_counts_tokens_of_the_tokenizer(spark):
     assert max(x.piece for x in rows if x.doc_id == 0) > 0
 
 
-# 3 -----------------------------------------------------------------------------------------------------------------
+# 3
 
 
 def test_token_mask_matches_brute_force():
@@ -571,7 +571,7 @@ def test_chat_masks_round_trip(spark):
     assert formatted(df.limit(0)).count() == 0
 
 
-# 4 -----------------------------------------------------------------------------------------------------------------
+# 4
 
 
 def test_webp_known_file():
@@ -608,7 +608,7 @@ def test_media_column(spark):
     assert {r.image_id: r.width for r in decoded(images_of(vectors)).collect()} == {**dict.fromkeys(range(7), 8), 8: None, 9: None}
 
 
-# 5 -----------------------------------------------------------------------------------------------------------------
+# 5
 
 
 def test_hosts_and_suffixes(spark):
@@ -667,7 +667,7 @@ def test_url_filter_edges(spark):
     assert url_reputation.filtered(pages.limit(0), labels).count() == 0
 
 
-# 9 -----------------------------------------------------------------------------------------------------------------
+# 9
 
 
 @pytest.mark.parametrize(
@@ -706,7 +706,7 @@ def test_licence_scan(spark):
     assert license_scan.scan(docs_of(spark, [])).count() == 0
 
 
-# buckets -----------------------------------------------------------------------------------------------------------
+# buckets
 
 
 def bucket_case(spark, nodes, keys, texts):

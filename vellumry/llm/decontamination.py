@@ -41,6 +41,7 @@ MIN_WEIGHT = 10
 #: Benchmark text that one pass holds in memory; a larger benchmark is split and the documents are read once per part.
 PART_CHARS = 16 << 20
 _BITS = 20
+_LAST = 0x3000
 
 
 def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +180,7 @@ class Index:
         self.short: dict[str, list[int]] = {}
         self._automaton = None
         self._fine: np.ndarray | None = None
+        self._letters: np.ndarray | None = None
         self._bags: dict[tuple[int, int, int], np.ndarray] = {}
         self._masks: dict[tuple[int, int, int], dict[int, int]] = {}
         hashes, place, which = [], [], []
@@ -276,10 +278,29 @@ class Index:
                 out.setdefault(i, []).append(a)
         return out
 
+    def _prepare(self) -> None:
+        """Numbers of the shorter grams: for alphabets of up to 127 characters by a table, else by their sorted hashes."""
+        letters = np.unique(np.concatenate(self.codes))
+        if FINE == 3 and len(letters) < 128 and letters[-1] < _LAST:
+            self._letters = np.zeros(_LAST + 1, np.int32)
+            self._letters[letters] = np.arange(1, len(letters) + 1)
+            some = np.unique(np.concatenate([self._triples(c) for c in self.codes]))
+            self._table = np.full(1 << 21, len(some), np.int32)
+            self._table[some] = np.arange(len(some))
+            self._fine = some
+        else:
+            self._fine = np.unique(np.concatenate([grams(c, FINE) for c in self.codes]))
+
+    def _triples(self, code: np.ndarray) -> np.ndarray:
+        c = self._letters[np.minimum(code, _LAST)]
+        return c[:-2] << 14 | c[1:-1] << 7 | c[2:]
+
     def _fine_places(self, code: np.ndarray) -> np.ndarray:
         """The number of each shorter gram of the text among those of all items; the last number is for the others."""
         if self._fine is None:
-            self._fine = np.unique(np.concatenate([grams(c, FINE) for c in self.codes]))
+            self._prepare()
+        if self._letters is not None:
+            return self._table[self._triples(code)]
         g = grams(code, FINE)
         at = np.searchsorted(self._fine, g)
         at[at == len(self._fine)] = 0
