@@ -87,6 +87,8 @@ MADE = [
     _query("ipynb", lambda: _text('{"metadata": {"kernelspec": {"language": "sql"}}, "cells": [{"cell_type": "markdown", "source": ["# %s"]}, %s, {"cell_type": "code", "source": []}]}', N("name"), _each('{"cell_type": "code", "source": ["select %d"], "outputs": [{"text": ["%s\\n"]}]}', ", "))),
     _query("rtf", lambda: _text("{\\rtf1\\ansi{\\fonttbl{\\f0 Times;}}\\b %s\\b0\\par %s}", N("name"), _each("Nation %d is \\i %s\\i0 .", "\\par "))),
     _query("jsonl", lambda: F.concat(_each('{"key": %d, "name": "%s"}', "\n"), F.lit("\nno json\n"))),
+    _query("rst", lambda: _text(
+        "===\n%s\n===\n\nNations of **%s**\nwith ``keys``::\n\n    select %d\n      from nation\n\nList\n----\n\n%s\n\n.. note:: made of :ref:`rows`\n\n.. a comment\n\n#. one\n#. two\n\nSee `the site <http://x.org>`_.\n", N("name"), N("name"), N("key"), _each("* %d *is* %s", "\n"))),
     _query("csv", lambda: F.concat(F.lit("key,name\n"), _each('%d,"%s"', "\n"))),
 ]
 
@@ -181,6 +183,10 @@ ORACLE_SQL = {
     "read_ipynb": _sql(("g", "0", "heading", "1", "r"), ("n", "2 * i - 1", "code_block", "0", "'select ' || k"), ("n", "2 * i", "blockquote", "0", "n")),
     "read_rtf": _sql(("g", "0", "paragraph", "0", "r"), ("n", "i", "paragraph", "0", _IS)),
     "read_jsonl": _sql(("g", "0", "metadata", "0", "'Records: ' || c || ' | Lines not parsed: 1 | Keys: key, name'"), ("g", "1", "code_block", "0", _all("'{\"key\": ' || x.k || ', \"name\": \"' || x.n || '\"}'", _NL))),
+    "read_rst": _sql(
+        ("g", "0", "heading", "1", "r"), ("g", "1", "paragraph", "0", "'Nations of ' || r || chr(10) || 'with keys:'"), ("g", "2", "code_block", "0", "'select ' || d || chr(10) || '  from nation'"), ("g", "3", "heading", "2", "'List'"),
+        ("g", "4", "list", "0", _all("'- ' || x.k || ' is ' || x.n", _NL)), ("g", "5", "admonition", "0", "'made of rows'"), ("g", "6", "list", "0", "'1. one' || chr(10) || '2. two'"), ("g", "7", "paragraph", "0", "'See the site.'"),
+    ),
     "read_csv": _sql(("g", "0", "metadata", "0", "'Rows: ' || c || ' | Columns: 2'"), ("g", "1", "table", "0", _DRAWN)),
     "read_odt": _sql(("g", "0", "heading", "2", "r"), ("n", "i", "paragraph", "0", _IS)),
     "read_epub": _sql(("g", "0", "heading", "1", "r"), ("n", "i", "paragraph", "0", _IS)),

@@ -301,4 +301,4 @@ def documents(spark: SparkSession, folder: str, glob: str | None = None) -> Data
     return parsed((r.option("pathGlobFilter", glob) if glob else r).load(folder).select("path", "content"))
 
 
-from . import office as _office  # noqa: E402,F401  registers its readers
+from . import office as _office, rest as _rest  # noqa: E402,F401  these register their readers
