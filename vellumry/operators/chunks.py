@@ -75,3 +75,13 @@ def chunked(docs: DataFrame, max_tokens: int = MAX_TOKENS, min_tokens: int = MIN
         "doc_id", "chunk", F.get(heads, F.size(heads) - 1)["content"].alias("heading"), content.alias("content"),
         F.col("s.a").alias("first_block"), (F.col("s.b") - F.col("s.a")).alias("n_blocks"),
     ).withColumn("token_count", text.count_tokens(F.col("content")))
+
+
+CONFIDENCES = ("extracted", "inferred", "ambiguous")
+
+
+def confidence_summary(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, and for each confidence its count and the block ids in order) of chunks' blocks (keys, block_id, confidence)."""
+    c = F.col("confidence")
+    each = [x for k in CONFIDENCES for x in (F.count_if(c == k).alias(k), F.array_sort(F.collect_list(F.when(c == k, F.col("block_id")))).alias(f"{k}_ids"))]
+    return blocks.groupBy(*keys).agg(*each)

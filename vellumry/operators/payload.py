@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -49,3 +49,28 @@ def chosen(options: Column, mode: str, block_tokens: Column, strategy: str = "au
     fits = lambda c: (block_tokens <= 0) | (c["tokens"] <= block_tokens * factor)
     good = F.filter(whole, fits if mode == "fidelity_first" else lambda c: fits(c) & (c["tokens"] <= max_inline))
     return F.coalesce(F.get(good, 0), short)
+
+
+PRESERVED = ("markdown", "structured_table", "image", "image_and_text", "reference_only", "key_value_group")
+
+
+def fidelity(elements: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row a document: what of its elements a package keeps, and what it may lack.
+
+    elements: (doc_id, element_id, source_kind, type, representation, omit_reason, page, confidence, by_default,
+    has_visual); issues: (doc_id, code). An element of a page or region that stands for a table no one extracted is
+    unresolved unless a picture of it is kept; pages and ids of these are listed in order.
+    """
+    rep, omit = F.col("representation"), F.col("representation") == "omit"
+    place = F.col("source_kind").isin("page", "page_region")
+    missed = place & (F.col("type") == "table") & ~F.col("has_visual")
+    table = rep == "structured_table"
+    e = elements.groupBy("doc_id").agg(
+        F.count_if(~(omit & F.coalesce(F.col("omit_reason") == "structural_marker", F.lit(False)))).alias("meaningful"), F.count_if(rep.isin(*PRESERVED)).alias("preserved"),
+        F.count_if(F.col("by_default") & ~rep.isin("omit", "reference_only")).alias("in_default"), F.count_if(rep == "reference_only").alias("reference_only"), F.count_if(omit).alias("omitted"),
+        F.count_if(table).alias("structured_tables"), F.count_if(table & F.col("has_visual")).alias("tables_with_visual"), F.count_if(rep.isin("image", "image_and_text") & (F.col("source_kind") == "block")).alias("images"),
+        F.count_if(place).alias("regions"), F.count_if(F.col("confidence") == "ambiguous").alias("uncertain"), F.count_if(missed).alias("unresolved"),
+        F.array_sort(F.collect_set(F.when(missed, F.col("page")))).alias("unresolved_pages"), F.array_sort(F.collect_set(F.when(missed, F.col("element_id")))).alias("unresolved_ids"),
+    )
+    i = issues.filter("code = 'W_TABLE_EXPECTED_NOT_EXTRACTED'").groupBy("doc_id").agg(F.count("*").alias("expected_tables"))
+    return e.join(i, "doc_id", "left").na.fill(0, ["expected_tables"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import key_values, payload, tables
+from ..operators import chunks, key_values, payload, tables
 from .corpora import ORACLE_SQL as _TABLES
 from .documents import _tokens
 from .tables import grids, read
@@ -44,7 +44,29 @@ def kv_possible(spark, sf_dir):
     return key_values.possible(_paragraphs(spark, sf_dir), ["doc_id", "idx"]).select("doc_id", "entries", "reason")
 
 
-QUERIES = {f.__name__: f for f in (table_payload, kv_promoted, kv_possible)}
+_ELEMENT = {
+    "doc_id": "user_id", "element_id": "event_id", "source_kind": "CASE event_id % 10 WHEN 0 THEN 'page' WHEN 1 THEN 'page_region' ELSE 'block' END", "type": "CASE WHEN event_type = 'error' THEN 'table' ELSE 'paragraph' END",
+    "representation": "CASE event_type WHEN 'click' THEN 'markdown' WHEN 'view' THEN 'omit' WHEN 'purchase' THEN 'image' WHEN 'error' THEN 'structured_table' ELSE 'reference_only' END",
+    "omit_reason": "CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'structural_marker' WHEN event_type = 'view' THEN 'decorative' END", "page": "CAST(event_id % 6 AS INT)",
+    "confidence": "CASE event_id % 4 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'inferred' ELSE 'extracted' END", "by_default": "event_id % 5 > 0", "has_visual": "event_id % 7 = 0",
+}
+
+
+def package_fidelity(spark, sf_dir):
+    """Events of a user as elements of a package."""
+    e = read(spark, sf_dir, "events")
+    issues = e.filter("event_id % 9 = 0").selectExpr("user_id AS doc_id", "CASE WHEN event_id % 2 = 0 THEN 'W_TABLE_EXPECTED_NOT_EXTRACTED' ELSE 'OTHER' END AS code")
+    f = payload.fidelity(e.selectExpr(*[f"{v} AS {k}" for k, v in _ELEMENT.items()]), issues)
+    return f.withColumns({c: F.array_join(c, ",") for c in ("unresolved_pages", "unresolved_ids")})
+
+
+def chunk_confidence(spark, sf_dir):
+    """Events of a user and page as blocks of a chunk."""
+    b = read(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "CAST(event_id % 6 AS INT) AS chunk", "event_id AS block_id", f"{_ELEMENT['confidence']} AS confidence")
+    return chunks.confidence_summary(b, ["doc_id", "chunk"]).withColumns({f"{k}_ids": F.array_join(f"{k}_ids", ",") for k in chunks.CONFIDENCES})
+
+
+QUERIES = {f.__name__: f for f in (table_payload, kv_promoted, kv_possible, package_fidelity, chunk_confidence)}
 
 _ROW = "array_to_string([CAST(o_orderkey AS VARCHAR), o_orderstatus, printf('%.2f', o_totalprice), strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority], chr(9))"
 _HEAD = "array_to_string(['o_orderkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'], chr(9))"
@@ -63,4 +85,13 @@ ORACLE_SQL = {
  ELSE CASE WHEN c_custkey % 50 = 0 THEN 'Email: a' || c_custkey || '@x.org' || chr(10) || 'not a field' || chr(10) || 'Reply: b@x.org' ELSE '- **Email:** a' || c_custkey || '@x.org' || chr(10) || '- **Reply:** b@x.org' END END AS content
  FROM customer WHERE c_custkey % 5 < 4""",
     "kv_possible": "SELECT c_custkey AS doc_id, CAST(2 AS BIGINT) AS entries, CASE c_custkey % 5 WHEN 0 THEN 'heuristic_disabled' ELSE 'insufficient_positive_evidence' END AS reason FROM customer WHERE c_custkey % 5 IN (0, 2) AND c_custkey % 50 > 0",
+    "package_fidelity": f"""WITH e AS (SELECT {", ".join(f"{v} AS {k}" for k, v in _ELEMENT.items())} FROM events), m AS (SELECT *, source_kind <> 'block' AND type = 'table' AND NOT has_visual AS missed FROM e),
+ i AS (SELECT user_id AS doc_id, count(*) AS n FROM events WHERE event_id % 9 = 0 AND event_id % 2 = 0 GROUP BY ALL)
+ SELECT doc_id, count(*) FILTER (representation <> 'omit' OR omit_reason IS DISTINCT FROM 'structural_marker') AS meaningful, count_if(representation <> 'omit') AS preserved, count_if(by_default AND representation NOT IN ('omit', 'reference_only')) AS in_default,
+ count_if(representation = 'reference_only') AS reference_only, count_if(representation = 'omit') AS omitted, count_if(representation = 'structured_table') AS structured_tables, count_if(representation = 'structured_table' AND has_visual) AS tables_with_visual,
+ count_if(representation = 'image' AND source_kind = 'block') AS images, count_if(source_kind <> 'block') AS regions, count_if(confidence = 'ambiguous') AS uncertain, count_if(missed) AS unresolved,
+ coalesce(string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS VARCHAR)) FILTER (missed), '') AS unresolved_pages, coalesce(string_agg(element_id, ',' ORDER BY element_id) FILTER (missed), '') AS unresolved_ids, coalesce(any_value(i.n), 0) AS expected_tables
+ FROM m LEFT JOIN i USING (doc_id) GROUP BY doc_id""",
+    "chunk_confidence": f"""WITH b AS (SELECT user_id AS doc_id, CAST(event_id % 6 AS INTEGER) AS chunk, event_id AS i, {_ELEMENT["confidence"]} AS c FROM events)
+ SELECT doc_id, chunk, {", ".join(f"count_if(c = '{k}') AS {k}, coalesce(string_agg(i, ',' ORDER BY i) FILTER (c = '{k}'), '') AS {k}_ids" for k in chunks.CONFIDENCES)} FROM b GROUP BY ALL""",
 }
