@@ -167,7 +167,7 @@ ORACLE_SQL = {
     "pdf_page_labels": f"""WITH {_S}, u AS (SELECT *, (min(x) OVER ({_OWN}) + max(x) OVER ({_OWN})) / 2 AS mid FROM s WHERE doc_id % 5 > 0 OR (page > 4 AND n % 40 = 0)),
  f AS (SELECT doc_id, page, sum(length(trim(text))) AS chars, count(*) AS n, max(x) - min(x) AS wide, count(*) FILTER (x < mid) AS l, count(*) FILTER (x >= mid) AS r FROM u GROUP BY ALL),
  q AS (SELECT p.doc_id, coalesce(chars, 0) < 50 AS image, doc_id % 2 = 0 AND page < 4 AS tab, coalesce(chars >= 50 AND n >= 12 AND wide > width * 0.4 AND l >= 4 AND r >= 4, false) AS multi FROM p LEFT JOIN f USING (doc_id, page)),
- d AS (SELECT doc_id, count(*) AS page_count, count_if(image) AS image_pages, count_if(tab) AS table_pages, count_if(multi) AS multi_col_pages FROM q GROUP BY doc_id)
+ d AS (SELECT doc_id, count(*) AS page_count, count(*) FILTER (image) AS image_pages, count(*) FILTER (tab) AS table_pages, count(*) FILTER (multi) AS multi_col_pages FROM q GROUP BY doc_id)
  SELECT *, CASE WHEN image_pages / page_count >= 0.8 THEN 'scanned' WHEN image_pages / page_count >= 0.2 THEN 'hybrid' WHEN table_pages / page_count >= 0.3 THEN 'table_heavy' WHEN multi_col_pages / page_count >= 0.3 THEN 'layout_heavy'
  WHEN 1 - image_pages / page_count >= 0.8 THEN 'native_text' ELSE 'low_confidence' END AS label FROM d""",
     "pdf_removable": f"""WITH {_S}, r AS (SELECT s.doc_id, s.page, trim(text) AS text, y / 800 < 0.12 AS top, y / 800 > 0.88 AS bottom FROM s WHERE trim(text) <> ''), c AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),

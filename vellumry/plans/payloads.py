@@ -87,11 +87,11 @@ ORACLE_SQL = {
     "kv_possible": "SELECT c_custkey AS doc_id, CAST(2 AS BIGINT) AS entries, CASE c_custkey % 5 WHEN 0 THEN 'heuristic_disabled' ELSE 'insufficient_positive_evidence' END AS reason FROM customer WHERE c_custkey % 5 IN (0, 2) AND c_custkey % 50 > 0",
     "package_fidelity": f"""WITH e AS (SELECT {", ".join(f"{v} AS {k}" for k, v in _ELEMENT.items())} FROM events), m AS (SELECT *, source_kind <> 'block' AND type = 'table' AND NOT has_visual AS missed FROM e),
  i AS (SELECT user_id AS doc_id, count(*) AS n FROM events WHERE event_id % 9 = 0 AND event_id % 2 = 0 GROUP BY ALL)
- SELECT doc_id, count(*) FILTER (representation <> 'omit' OR omit_reason IS DISTINCT FROM 'structural_marker') AS meaningful, count_if(representation <> 'omit') AS preserved, count_if(by_default AND representation NOT IN ('omit', 'reference_only')) AS in_default,
- count_if(representation = 'reference_only') AS reference_only, count_if(representation = 'omit') AS omitted, count_if(representation = 'structured_table') AS structured_tables, count_if(representation = 'structured_table' AND has_visual) AS tables_with_visual,
- count_if(representation = 'image' AND source_kind = 'block') AS images, count_if(source_kind <> 'block') AS regions, count_if(confidence = 'ambiguous') AS uncertain, count_if(missed) AS unresolved,
+ SELECT doc_id, count(*) FILTER (representation <> 'omit' OR omit_reason IS DISTINCT FROM 'structural_marker') AS meaningful, count(*) FILTER (representation <> 'omit') AS preserved, count(*) FILTER (by_default AND representation NOT IN ('omit', 'reference_only')) AS in_default,
+ count(*) FILTER (representation = 'reference_only') AS reference_only, count(*) FILTER (representation = 'omit') AS omitted, count(*) FILTER (representation = 'structured_table') AS structured_tables, count(*) FILTER (representation = 'structured_table' AND has_visual) AS tables_with_visual,
+ count(*) FILTER (representation = 'image' AND source_kind = 'block') AS images, count(*) FILTER (source_kind <> 'block') AS regions, count(*) FILTER (confidence = 'ambiguous') AS uncertain, count(*) FILTER (missed) AS unresolved,
  coalesce(string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS VARCHAR)) FILTER (missed), '') AS unresolved_pages, coalesce(string_agg(element_id, ',' ORDER BY element_id) FILTER (missed), '') AS unresolved_ids, coalesce(any_value(i.n), 0) AS expected_tables
  FROM m LEFT JOIN i USING (doc_id) GROUP BY doc_id""",
     "chunk_confidence": f"""WITH b AS (SELECT user_id AS doc_id, CAST(event_id % 6 AS INTEGER) AS chunk, event_id AS i, {_ELEMENT["confidence"]} AS c FROM events)
- SELECT doc_id, chunk, {", ".join(f"count_if(c = '{k}') AS {k}, coalesce(string_agg(i, ',' ORDER BY i) FILTER (c = '{k}'), '') AS {k}_ids" for k in chunks.CONFIDENCES)} FROM b GROUP BY ALL""",
+ SELECT doc_id, chunk, {", ".join(f"count(*) FILTER (c = '{k}') AS {k}, coalesce(string_agg(i, ',' ORDER BY i) FILTER (c = '{k}'), '') AS {k}_ids" for k in chunks.CONFIDENCES)} FROM b GROUP BY ALL""",
 }
