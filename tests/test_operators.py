@@ -1,6 +1,7 @@
 """Operators on small frames: goldens, brute force, nulls and empty inputs."""
 
 import json
+import re
 import zipfile
 
 import pytest
@@ -70,6 +71,31 @@ def test_heading_cut_inside_a_character_reference(raw, heading):
     assert html.blocks(f"<h1>{raw}</h1>")[0]["content"] == heading
 
 
+def _shingle_rows(rows):
+    seen = {}
+    for doc, t in rows:
+        if t is not None:
+            w = re.findall(r"\w+", t.lower())
+            seen.setdefault(doc, []).extend(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    return sorted(((d, len(g), len(set(g)), min(g)) for d, g in seen.items()), key=repr)
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "a b c d e f a b c d e f"), (2, ""), (3, None), (4, "One two"), (5, "é É è a b c")],
+    [(1, "a b c d e f"), (1, "b c d e f g"), (1, None), (2, "a b c d e f"), (None, "x y"), (None, "x y")],
+])
+def test_shingle_counts_equal_brute_force(spark, rows):
+    got = corpus.shingle_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == _shingle_rows(rows)
+
+
+def test_shingles_are_not_shuffled(spark):
+    from vellumry.plans import corpora
+
+    plan = corpora.shingles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
 def test_fragments_merge_in_pairs(spark):
     def run(*contents, page=1):
         b = [("paragraph", c, None, page) for c in contents]

@@ -40,6 +40,26 @@ def shingles(c: Column, k: int = SHINGLE) -> Column:
     ))
 
 
+def shingle_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, different, least) of each document's shingles. Null texts have none.
+
+    Shingles are several times their text, so they are counted where they are and one row a document is shuffled. Only
+    the texts of ids that occur in several rows are brought together, for the shingles that these have in common.
+    """
+    docs = docs.filter("text is not null").select("doc_id", "text")
+    grams = docs.select("doc_id", shingles(F.col("text")).alias("_g"))
+    own = grams.select("doc_id", F.size("_g").cast("long").alias("n"), F.size(F.array_distinct("_g")).cast("long").alias("different"), F.array_min("_g").alias("least"))
+    out = own.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("different").alias("different"), F.min("least").alias("least"))
+    again = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_id")
+    if again.isEmpty():
+        return out
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    shared = docs.join(small(again, 16), same, "left_semi").select("doc_id", F.explode_outer(shingles(F.col("text"))).alias("_s"))
+    shared = shared.groupBy(F.col("doc_id").alias("_id")).agg(F.countDistinct("_s").alias("_all"))
+    joined = out.join(shared, same, "left")
+    return joined.select("doc_id", "n", F.coalesce("_all", "different").alias("different"), "least")
+
+
 def _signer():
     a, b = (np.array(x, np.uint64)[:, None] for x in zip(*coefficients()))
     prime = np.uint64(_PRIME)

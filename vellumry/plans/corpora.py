@@ -11,8 +11,7 @@ from .tables import grids, read
 
 
 def shingles(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.explode_outer(corpus.shingles(F.col("text"))).alias("shingle")).filter("shingle is not null")
-    return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("shingle").alias("different"), F.min("shingle").alias("least"))
+    return corpus.shingle_counts(read(spark, sf_dir, "documents"))
 
 
 def minhash_signature(spark, sf_dir):
