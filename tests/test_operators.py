@@ -96,6 +96,13 @@ def test_shingles_are_not_shuffled(spark):
     assert "Generate" not in plan and "Expand" not in plan
 
 
+def test_pdf_issues_are_found_on_all_cores(spark):
+    from vellumry.plans import steps
+
+    plan = steps.pdf_issues(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 4, true" in plan
+
+
 def test_fragments_merge_in_pairs(spark):
     def run(*contents, page=1):
         b = [("paragraph", c, None, page) for c in contents]

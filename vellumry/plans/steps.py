@@ -51,7 +51,7 @@ def pdf_issues(spark, sf_dir):
         block("heading", F.lit("H"), c % 4 + 1, F.lit(1)), block("heading", F.lit("S"), c % 4 + 1 + c % 3, F.lit(1)),
         block("paragraph", F.repeat(F.lit("x"), c % 50 * 200), none, F.lit(1)), block("paragraph", F.repeat(F.lit("(cid:7)"), c % 7 * 10), none, F.when(c % 2 == 0, 3).otherwise(2)),
     )
-    d = read(spark, sf_dir, "customer").select(c.alias("doc_id"), b.alias("blocks"), F.lit("pdf").alias("file_type"), (c % 3 + 3).alias("pages"), (c * 10).alias("original_tokens"))
+    d = read(spark, sf_dir, "customer", heavy=True).select(c.alias("doc_id"), b.alias("blocks"), F.lit("pdf").alias("file_type"), (c % 3 + 3).alias("pages"), (c * 10).alias("original_tokens"))
     i = quality.issues(d).select("doc_id", F.explode_outer("issues").alias("i")).filter("i is not null")
     return i.groupBy("doc_id", F.col("i.code").alias("code")).agg(F.count("*").alias("n"))
 
