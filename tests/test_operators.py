@@ -240,6 +240,15 @@ def test_classifier(spark, lines, exclusions, promote):
     assert (r.exclusions, r.promote) == (exclusions, promote)
 
 
+def test_detected_groups_and_their_plan(spark):
+    rows = [(1, "Email: a@b.co\nEmail: c@d.co"), (2, "Foo: x"), (3, "Monday: x\nFoo: y"), (4, "Link: https://x.y"), (5, "Foo: x"), (5, "Foo: y\nBar: z")]
+    d = spark.createDataFrame(rows, "id int, content string")
+    got = key_values.detected(key_values.typed(key_values.lines(d, ["id"])), ["id"])
+    assert sorted(map(tuple, got.collect())) == [(1, 2, "contact", True), (3, 2, "schedule", False), (4, 1, "unknown", False), (5, 3, "unknown", True)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("Exchange")  # a child stands below: nothing is counted before the one shuffle
+
+
 def test_records_split_at_a_repeated_key(spark):
     e = [("a", "1"), ("b", "2|3"), ("a", "4")]
     d = one(spark, e, schema="e array<struct<key:string,value:string>>")
