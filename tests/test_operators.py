@@ -4,10 +4,11 @@ import json
 import re
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vellumry.functions import ids, kv, text
+from vellumry.functions import ids, kv, shared, text
 from vellumry.operators import blocks, chunks, corpus, evals, key_values, quality, search, table_quality, tables
 from vellumry.operators.policy import ocr_choice, route
 from vellumry.sources import files, html, markdown, structured
@@ -103,6 +104,18 @@ def test_pdf_issues_are_found_on_all_cores(spark):
     assert "Repartition 4, true" in plan
 
 
+@pytest.mark.parametrize("step", ["_parsed", "_reparsed"])
+def test_pages_are_parsed_in_small_slices(step):
+    from vellumry.plans import pages
+
+    rows = [f"<table><tr><td>{i}</td></tr></table>" if step == "_parsed" else f"p{i}" for i in range(300)] + [None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(301)), "url": ["u"] * 301, "html": rows, "text": rows})
+    got = list(getattr(pages, step)(iter([batch])))
+    assert max(b.num_rows for b in got) <= shared.SLICE_ROWS and sum((b.column("doc_id").to_pylist() for b in got), []) == list(range(301))
+    contents = [[x["content"] for x in r] for b in got for r in b.column("blocks").to_pylist()]
+    assert contents == [[f"| {i} |\n| --- |" if step == "_parsed" else f"p{i}"] for i in range(300)] + [[]]
+
+
 def test_fragments_merge_in_pairs(spark):
     def run(*contents, page=1):
         b = [("paragraph", c, None, page) for c in contents]
