@@ -116,6 +116,23 @@ def test_pages_are_parsed_in_small_slices(step):
     assert contents == [[f"| {i} |\n| --- |" if step == "_parsed" else f"p{i}"] for i in range(300)] + [[]]
 
 
+def test_composition_passes_on_what_is_composed():
+    plain = pa.array([f"é{i}" for i in range(600)] + [None, "", "a"])
+    assert text._nfc(plain) is plain and text._nfc(pa.array([], pa.string())).to_pylist() == []
+    mixed = pa.array(["a", None] * 400 + ["e\u0301", "é", None, "\u212b"])
+    assert text._nfc(mixed).to_pylist() == ["a", None] * 400 + ["é", "é", None, "Å"]
+    lists = pa.array([["e\u0301", "a"], None, [], [None]] * 200)
+    assert text._nfc_all(lists).to_pylist() == [["é", "a"], None, [], [None]] * 200
+    assert text._nfc_all(lists.slice(401, 3)).to_pylist() == [None, [], [None]]
+
+
+def test_composition_copies_no_composed_lists():
+    lists = pa.array([["é" * 100] * 10] * 1000)
+    before = pa.total_allocated_bytes()
+    got = text._nfc_all(lists)
+    assert pa.total_allocated_bytes() - before < lists.nbytes / 10 and got.equals(lists)
+
+
 def test_fragments_merge_in_pairs(spark):
     def run(*contents, page=1):
         b = [("paragraph", c, None, page) for c in contents]

@@ -32,9 +32,22 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(WS))
 
 
+#: Texts that Python holds at once beside their Arrow array, of which Spark bounds the bytes.
+_SLICE = 256
+
+
 def _nfc(text: pa.Array) -> pa.Array:
+    """Composed texts; slices in which none changes are passed on as they are."""
     # Arrow's own normalisation leaves combining accents apart
-    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
+    out, same = [], True
+    for at in range(0, len(text), _SLICE):
+        part = text.slice(at, _SLICE)
+        if not pc.all(pc.string_is_ascii(part), min_count=0).as_py():
+            old = part.to_pylist()
+            if not all(t is None or unicodedata.is_normalized("NFC", t) for t in old):
+                part, same = pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in old], pa.string()), False
+        out.append(part)
+    return text if same else pa.concat_arrays(out)
 
 
 def nfc(c: Column) -> Column:
