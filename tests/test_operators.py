@@ -133,6 +133,18 @@ def test_composition_copies_no_composed_lists():
     assert pa.total_allocated_bytes() - before < lists.nbytes / 10 and got.equals(lists)
 
 
+def test_search_keeps_the_best_of_a_task(spark):
+    rows = [(i, " ".join(["word"] * (i % 7 + 1) + ["other"] * (i % 5))) for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    limit, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(limit, "10")
+    try:
+        got = search._scored(d, [(1, "word", 1.5), (2, "word", 1.5), (2, "other", 2.0)], 3, None).collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted((r.item_id, r.doc_id) for r in got if r.item_id == 1) == [(1, 0), (1, 1), (1, 2)] and len(got) == 6
+
+
 def test_fragments_merge_in_pairs(spark):
     def run(*contents, page=1):
         b = [("paragraph", c, None, page) for c in contents]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import small
+from ..functions.shared import slices, small
 
 TERM = r"[a-z0-9]+(?:[./][a-z0-9]+)*"
 #: Query vectors, in bytes, that are sent to every task at once; more are searched in several passes.
@@ -28,7 +28,7 @@ def tfidf(docs: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     A query term weighs its inverse document frequency, a document's term that times its share of the document; the
     score is the cosine over the query's terms. Equal scores rank by doc_id; documents without a query term have none.
     Two passes over the documents, neither of which moves them: one counts the documents of each term asked for, one
-    scores each document against weights that travel in parts of a bounded size, and keeps k rows a batch and query.
+    scores each document against weights that travel in parts of a bounded size, and keeps k rows a task and query.
     """
     q = queries.select("item_id", F.explode_outer(F.array_distinct(terms("text"))).alias("term")).filter("term is not null")
     n = docs.count()
@@ -49,7 +49,7 @@ def tfidf(docs: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
 
 
 def _scored(docs: DataFrame, weights: list, k: int, before: DataFrame | None) -> DataFrame:
-    """``before`` and the best k scores of each batch for the queries of (item_id, term, idf) rows."""
+    """``before`` and the best k scores of each task for the queries of (item_id, term, idf) rows."""
     if not weights:
         return docs.sparkSession.createDataFrame([], "item_id long, doc_id long, score double") if before is None else before
     items = np.array(sorted({r[0] for r in weights}), np.int64)
@@ -64,8 +64,9 @@ def _scored(docs: DataFrame, weights: list, k: int, before: DataFrame | None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, number, query, idf, first, norm = shared.value
         word = re.compile(TERM)
-        for batch in batches:
-            rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for batch in slices(batches):
+            rows = [best]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 words = word.findall((text.as_py() or "").lower())
                 tf = Counter(number[w] for w in words if w in number)
@@ -78,13 +79,14 @@ def _scored(docs: DataFrame, weights: list, k: int, before: DataFrame | None) ->
                 dot, own = np.bincount(query[entry], idf[entry] * w, len(items)), np.bincount(query[entry], w * w, len(items))
                 some = np.flatnonzero(own)
                 rows.append((some, np.full(len(some), doc), (dot[some] / (np.sqrt(own[some]) * norm[some])).round(6)))
-            if not rows:
-                continue
-            which, doc, score = (np.concatenate(x) for x in zip(*rows))
-            order = np.lexsort((doc, -score, which))
-            which, doc, score = which[order], doc[order], score[order]
-            keep = np.arange(len(which)) - np.searchsorted(which, which) < k
-            yield pa.RecordBatch.from_arrays([pa.array(items[which[keep]]), pa.array(doc[keep]), pa.array(score[keep])], ["item_id", "doc_id", "score"])
+            if len(rows) > 1:
+                which, doc, score = (np.concatenate(x) for x in zip(*rows))
+                order = np.lexsort((doc, -score, which))
+                which, doc, score = which[order], doc[order], score[order]
+                keep = np.arange(len(which)) - np.searchsorted(which, which) < k
+                best = which[keep], doc[keep], score[keep]
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(items[best[0]]), pa.array(best[1]), pa.array(best[2])], ["item_id", "doc_id", "score"])
 
     one = docs.mapInArrow(run, "item_id long, doc_id long, score double")
     return one if before is None else before.unionByName(one)
