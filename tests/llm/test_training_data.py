@@ -5,8 +5,10 @@ import itertools
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -537,6 +539,47 @@ def test_packing_counts_tokens_of_the_tokenizer(spark):
     assert max(x.piece for x in rows if x.doc_id == 0) > 0
 
 
+class Listening:
+    """A tokenizer that lists what it is given to encode."""
+
+    def __init__(self, tok):
+        self.tok, self.given = tok, []
+
+    def __getattr__(self, name):
+        return getattr(self.tok, name)
+
+    def encode_batch_fast(self, texts, **how):
+        self.given += texts
+        return self.tok.encode_batch_fast(texts, **how)
+
+
+def test_tokens_of_words_are_counted_without_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    tok.encode_special_tokens = True
+    r = random.Random(6)
+    parts = ["eren", "heit", "ção", "übe", "ß", "th", "OFT", "aaa", "tion", "qx", "é"]
+    word = lambda: "".join(r.choices(parts, k=r.randint(1, 7)))
+    texts = [r.choice(["", " ", "\n"]) + "".join(word() + r.choice([" ", ", ", ".\n", "!!\n\n", " 12", "%%% ", "  ", " \t"]) for _ in range(300)) for _ in range(12)]
+    listening = Listening(tok)
+    plain = lambda texts: [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert packing._Counts(listening).of(pa.array(texts)).tolist() == plain(texts)
+    assert all(len(x.encode()) > 32 for x in listening.given)
+
+    odd = ["a", "z", "É", "×", "÷", "ÿ", "Ā", "7", "٣", "'", "'s", "'ll", ",", "-", " ", "  ", "\n", "\t", "\r", "\x00", "\x1f", "\x7f", "\xa0", "\u2028", "\u3000", "\u0301", "“", "語", "😀", "<|endoftext|>"]
+    texts = ["".join(r.choices(odd, k=r.randint(0, 60))) for _ in range(4000)] + ["a" * 3000, " " + "é" * 16, "x" * 32, "x" * 33, "", " ", "\n", "'"]
+    monkeypatch.setattr(packing, "KNOWN_PIECES", 64)  # pieces take each other's places
+    counts = packing._Counts(tok)
+    for _ in range(2):
+        assert counts.of(pa.array(texts)).tolist() == plain(texts)
+        assert [counts.of(pa.array([x]))[0] for x in texts[:300]] == plain(texts[:300])
+
+    other = Tokenizer.from_file(str(Path(TOKENIZER).with_name("word_bpe_49k.json")))
+    other.encode_special_tokens = True
+    assert packing._Counts(other).of(pa.array(texts)).tolist() == [len(e.ids) for e in other.encode_batch(texts, add_special_tokens=False)]
+
+
 # 3
 
 

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._bpe import SHORT, Merges, alike, kinds, piece_starts
 from ._shared import portions, written
 from ._words import U64, span_hashes, text_slices
 from .chat_format import TOKENIZER, _tokenizer
@@ -91,67 +92,55 @@ def _packer(capacity: int, turn: int):
 _SCHEMA = "doc_id long, piece int, size long, part long, round int, bin long, fill long, part_bins long, part_bound long"
 
 
-#: A text is cut before every run of white space. The tokenizer's own pieces end there too (it joins white space to what
-#: follows it, never to what precedes it, and looks only ahead), so counts of these pieces add up to the whole text's.
-#: White space as bytes of UTF-8: single bytes, and the first bytes of longer characters with what may follow them.
-_BLANK = np.zeros(256, bool)
-_BLANK[[*range(9, 14), 32]] = True
-_LONG_BLANKS = {
-    b"\xc2": [b"\x85", b"\xa0"], b"\xe1\x9a": [b"\x80"], b"\xe2\x81": [b"\x9f"], b"\xe3\x80": [b"\x80"],
-    b"\xe2\x80": [bytes([c]) for c in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)],
-}
-#: Pieces whose counts a task remembers, by a 64-bit hash of their bytes.
-KNOWN_PIECES = 1_000_000
-
-
-def blanks(data: np.ndarray) -> np.ndarray:
-    """Which bytes of UTF-8 text belong to white space."""
-    out = _BLANK[data]
-    for head, tails in _LONG_BLANKS.items():
-        n = len(head)
-        at = np.flatnonzero(data[: -n or None] == head[0])
-        at = at[at + n < len(data)]
-        for k in range(1, n):
-            at = at[data[at + k] == head[k]]
-        at = at[np.isin(data[at + n], np.frombuffer(b"".join(tails), np.uint8))]
-        for k in range(n + 1):
-            out[at + k] = True
-    return out
+#: Places, a power of two, for pieces whose counts a task remembers by a 64-bit hash of their bytes.
+KNOWN_PIECES = 1 << 21
 
 
 class _Counts:
-    """Tokens of pieces, encoded when they are first met."""
+    """Tokens of texts. A piece is encoded when it is met first, or when another has taken its place since."""
 
     def __init__(self, enc):
-        self.enc, self.known = enc, {}
+        self.enc, self.merges = enc, Merges.of(enc)
+        self.key = np.arange(KNOWN_PIECES, dtype=U64) ^ U64(1)  # no key belongs where it is
+        self.count = np.zeros(KNOWN_PIECES, np.int32)
 
     def of(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text."""
         out = np.zeros(len(texts), np.int64)
+        if self.merges is None:  # nothing is known of its pieces
+            for at in range(0, len(texts), 16):
+                out[at : at + 16] = [len(x) for x in self.enc.encode_batch_fast(texts[at : at + 16].to_pylist(), add_special_tokens=False)]
+            return out
         for first, last, data, offsets in text_slices(texts, lower=False):
             if not len(data):
                 continue
-            blank = blanks(data)
-            new = blank.copy()
-            new[1:] &= ~blank[:-1]
-            starts = offsets[:-1][offsets[:-1] < len(data)]
-            new[starts] = True
-            s = np.flatnonzero(new)
+            kind = kinds(data)
+            s = piece_starts(data, kind, offsets[:-1][offsets[:-1] < len(data)])
             e = np.append(s[1:], len(data))
             key = span_hashes(data.astype(U64) + U64(1), s, e)
-            distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
-            if len(self.known) + len(distinct) > KNOWN_PIECES:
-                self.known.clear()
-            hashes, get = distinct.tolist(), self.known.get
-            count = np.array([get(k, -1) for k in hashes])
-            missing = np.flatnonzero(count < 0)
+            slot = (key & U64(KNOWN_PIECES - 1)).astype(np.int64)
+            count = self.count[slot]
+            missing = np.flatnonzero(self.key[slot] != key)
             if len(missing):
-                raw = data.tobytes()
-                pieces = [raw[i:j].decode() for i, j in zip(s[where[missing]].tolist(), e[where[missing]].tolist())]
-                count[missing] = [len(x) for x in self.enc.encode_batch_fast(pieces, add_special_tokens=False)]
-                self.known.update((hashes[i], n) for i, n in zip(missing.tolist(), count[missing].tolist()))
-            row = np.searchsorted(offsets, s, "right") - 1
-            out[first:last] = np.bincount(row, count[back], last - first)
+                _, where, back = np.unique(key[missing], return_index=True, return_inverse=True)
+                one = missing[where]
+                new = self._encoded(data, kind, s[one], e[one])
+                count[missing] = new[back]
+                _, place = np.unique(slot[one], return_index=True)
+                self.key[slot[one[place]]], self.count[slot[one[place]]] = key[one[place]], new[place]
+            total = np.zeros(len(s) + 1, np.int64)
+            np.cumsum(count, out=total[1:])
+            out[first:last] = np.diff(total[np.searchsorted(s, offsets)])
+        return out
+
+    def _encoded(self, data: np.ndarray, kind: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        short = alike(kind, s, e) & (e - s <= SHORT)
+        out = np.empty(len(s), np.int64)
+        out[short] = self.merges.counts(data, s[short], (e - s)[short])
+        if not short.all():
+            raw = data.tobytes()
+            pieces = [raw[i:j].decode() for i, j in zip(s[~short].tolist(), e[~short].tolist())]
+            out[~short] = [len(x) for x in self.enc.encode_batch_fast(pieces, add_special_tokens=False)]
         return out
 
 
